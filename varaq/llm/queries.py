@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table as table
-from . import quality, repeated, split
+from . import language, lookalike, quality, repeated, split
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +30,19 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeated.without_repeats(table(spark, d, "page_lines"), table(spark, d, "books"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.found(table(spark, d, "blocks"))
+
+
+def p5_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.unified(table(spark, d, "blocks").select("block_id", "text").distinct()).select("block_id", "form")
+
+
+def p5_spans(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["doc_id", "page_no", "line_no", "span_no"]
+    return lookalike.unified(table(spark, d, "spans").select(*keys, "text").distinct()).select(*keys, "form")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return split.found(table(spark, d, "blocks"))
 
@@ -38,6 +51,18 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_chapters(table(spark, d, "blocks"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found(table(spark, d, "documents"))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(table(spark, d, "documents"))
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return language.document_languages(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
