@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 240, 3000, 48_000
-MIN_MARGIN, MIN_LETTERS, LEVEL = 0.04, 8, 3
+MIN_MARGIN, MIN_LETTERS, LEVEL = 0.1, 8, 3
 #: ISO 639 codes of three letters: fixed values.
 THREE = "eng en fre fr fra fr ger de deu de spa es por pt rus ru per fa fas fa ara ar chi zh zho zh jpn ja tha th ita it nld nl dut nl tur tr kor ko hin hi urd ur"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table as table
-from . import language, lookalike, quality, repeated, split
+from . import language, leaks, lookalike, quality, repeated, split
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +51,14 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_chapters(table(spark, d, "blocks"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(table(spark, d, "documents"))
 
