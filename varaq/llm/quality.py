@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 #: Frequent function words; in zh, ja and th, function characters and syllables, counted inside the text.
 FUNCTION_WORDS = {
     "en": "the of and to in that was for with on as at by it but not which from",
@@ -63,6 +65,9 @@ _NOTE_MARK = r"^\s*(?:[*†‡]|\(\p{Nd}+\))\s*"
 _CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 
 
+_RAW = [*(f"f_{k}" for k in LANGUAGES), "letters", "cjk", "kana", "thai", "tokens", "capital", "number", "mixed", "comma", "ends", "symbol", "leader", "again"]
+
+
 def _count(pattern: str, text: str = "t") -> F.Column:
     return F.regexp_count(F.col(text), F.lit(pattern))
 
@@ -95,37 +100,39 @@ def block_features(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id", "block_
         "symbol": _count(r"[$+<=>^`|~*/\\{}\[\]_#@&•‣◦→%](?![\x{80}-\x{9f}\x{c0}-\x{ff}])|(?<=\s)-(?=\s)"),
         "leader": _count(r"[·.]{3,}(?=\s*\p{Nd})"),
         "again": _count(r"(?<![\p{L}\p{M}])([\p{L}\p{M}]{2,})(?= \1(?![\p{L}\p{M}]))"),
-        "end_mark": F.col("t").rlike(r"[.!?؟。！？…][\"'”’»」』）)\]]*\s*$"),
     }
-    counted = t.select(*keys, "chars", *(v.alias(k) for k, v in cols.items()))
-    latin = [F.struct(F.col(f"f_{k}").alias("n"), F.lit(k).alias("lang")) for k in FUNCTION_WORDS]
-    best = F.array_max(F.array(*latin))
-    spaceless = F.col("cjk") * 2 > F.col("letters")
-    lang = (
-        F.when(F.col("letters") == 0, None)
-        .when(spaceless & (F.col("thai") * 2 > F.col("cjk")), F.lit("th"))
-        .when(spaceless & (F.col("kana") * 5 > F.col("cjk")), F.lit("ja"))
-        .when(spaceless, F.lit("zh"))
-        .when(best["n"] > 0, best["lang"])
-    )
-    hit = F.when(spaceless, F.greatest("f_zh", F.when(F.col("kana") * 5 > F.col("cjk"), F.col("f_ja")).otherwise(F.lit(0)), "f_th") / 2).otherwise(best["n"])
-    words = F.when(spaceless, F.col("cjk") / F.when(F.col("thai") > 0, F.lit(4)).otherwise(F.lit(2))).otherwise(F.col("tokens"))
-    return (
-        counted.withColumn("lang", lang).withColumn("function", hit.cast("double")).withColumn("words", words.cast("double"))
-        .withColumn("repeat", F.col("again").cast("double"))
-        .withColumn("capital", F.least(F.col("capital"), F.col("words")).cast("double"))
-        .withColumn("word", F.greatest(F.col("words") - F.col("function") - F.col("capital") - F.col("repeat") - F.col("mixed"), F.lit(0.0)))
-        .select(
-            *keys, "chars", "letters", "lang", "words", "end_mark",
-            F.when(F.col("words") > 0, F.col("letters") / F.col("words")).alias("mean_word_length"),
-            F.when(F.col("chars") > 0, F.col("symbol") / F.col("chars")).alias("symbol_ratio"),
-            F.when(F.col("words") > 0, F.col("function") / F.col("words")).alias("common_ratio"),
-            *(F.col(dict(end="ends").get(c, c)).cast("double").alias(c) for c in CLASSES),
-        )
-    )
+    assert list(cols) == _RAW
+    # the counts are made in the JVM; what follows from them, in one vectorized step over numbers alone
+    counted = t.select(*keys, "chars", F.col("t").rlike(r"[.!?؟。！？…][\"'”’»」』）)\]]*\s*$").alias("end_mark"), F.array(*(v.cast("double") for v in cols.values())).alias("counts"))
+    derived = counted.withColumn("d", F.pandas_udf(_derived, _DERIVED)("counts", "chars"))
+    return derived.select(*keys, "chars", "end_mark", "d.*")
+
+
+_DERIVED = "letters double, lang string, words double, mean_word_length double, symbol_ratio double, common_ratio double, " + ", ".join(f"{c} double" for c in CLASSES)
+
+
+def _derived(counts: pd.Series, chars: pd.Series) -> pd.DataFrame:
+    """Language, words and class counts of each row of raw counts."""
+    if not len(counts):
+        return pd.DataFrame({c.split()[0]: pd.Series(dtype=object if c.endswith("string") else float) for c in _DERIVED.split(", ")})
+    raw = np.stack(counts.to_numpy())
+    c = {k: raw[:, i] for i, k in enumerate(_RAW)}
+    latin = np.stack([c[f"f_{k}"] for k in FUNCTION_WORDS])
+    spaceless = c["cjk"] * 2 > c["letters"]
+    thai, kana = spaceless & (c["thai"] * 2 > c["cjk"]), spaceless & (c["kana"] * 5 > c["cjk"])
+    names = np.array(list(FUNCTION_WORDS), dtype=object)[latin.argmax(axis=0)]
+    lang = np.select([c["letters"] == 0, thai, kana, spaceless, latin.max(axis=0) > 0], [None, "th", "ja", "zh", names], default=None)
+    syllables = np.maximum(np.maximum(c["f_zh"], np.where(kana, c["f_ja"], 0)), c["f_th"]) / 2
+    words = np.where(spaceless, c["cjk"] / np.where(c["thai"] > 0, 4, 2), c["tokens"])
+    out = {"function": np.where(spaceless, syllables, latin.max(axis=0)), "capital": np.minimum(c["capital"], words), "repeat": c["again"], "end": c["ends"]}
+    out |= {k: c[k] for k in ("number", "mixed", "comma", "symbol", "leader")}
+    out["word"] = np.maximum(words - out["function"] - out["capital"] - out["repeat"] - out["mixed"], 0)
+    n = chars.to_numpy()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratios = {"mean_word_length": np.where(words > 0, c["letters"] / words, np.nan), "symbol_ratio": np.where(n > 0, c["symbol"] / n, np.nan), "common_ratio": np.where(words > 0, out["function"] / words, np.nan)}
+    return pd.DataFrame({"letters": c["letters"], "lang": lang, "words": words} | ratios | {k: out[k] for k in CLASSES})
 
 
-@F.pandas_udf("structure string, divergence double")
 def _nearest(counts: pd.Series, learned: pd.Series) -> pd.DataFrame:
     """The structural profile with the least Jensen-Shannon divergence (in bits) from each row's class shares."""
     n = len(counts)
@@ -161,7 +168,7 @@ def classify_blocks(features: DataFrame, prose: DataFrame | None = None) -> Data
     shares = F.lit(None).cast("array<double>")
     if prose is not None:  # at most one row a language
         features, shares = features.join(F.broadcast(prose), "lang", "left"), F.col("shares")
-    near = features.withColumn("near", _nearest(F.array(*CLASSES), shares))
+    near = features.withColumn("near", F.pandas_udf(_nearest, "structure string, divergence double")(F.array(*CLASSES), shares))
     return near.select("*", "near.*").drop("near", "shares")
 
 
@@ -181,7 +188,7 @@ def book_statistics(blocks: DataFrame, pages: DataFrame | None = None) -> DataFr
     and pages come from pages_geom (null text_chars are skipped) and are null for books without pages.
     """
     body = blocks.where("kind in ('p', 'note')").select("doc_id", "block_id", "text").distinct()
-    features = block_features(body)
+    features = settled(block_features(body))  # numbers only; read for the profiles and again for the classes
     kinds = classify_blocks(features, prose_profiles(features))
     chars = lambda s: F.sum(F.when(F.col("structure") == s, F.col("chars")).otherwise(0))
     names = [k for k in PROFILES]

@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table as table
-from . import language, leaks, lookalike, quality, repeated, split
+from . import language, leaks, lookalike, quality, repeated, sentences, split
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.found(table(spark, d, "blocks"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
