@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table as table
-from . import language, leaks, lookalike, quality, repeated, sentences, split
+from . import garbled, language, leaks, lookalike, quality, repeated, sentences, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.found(table(spark, d, "blocks"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.found(table(spark, d, "spans"))
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.repaired(table(spark, d, "spans"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.found(table(spark, d, "blocks"), table(spark, d, "pages_geom"))
 
