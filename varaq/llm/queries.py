@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table as table
-from . import garbled, language, leaks, lookalike, quality, repeated, sentences, split
+from . import garbled, language, leaks, lookalike, mixture, quality, repeated, sentences, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +71,14 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(table(spark, d, "documents"))
 
