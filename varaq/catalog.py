@@ -98,7 +98,7 @@ def n06_looks_mirrored(spark, d):
 @_query
 def n16_normalize(spark, d):
     s = read_table(spark, d, "spans").where("text is not null").select(*KEYS, "text").distinct()
-    return s.select(*KEYS, *(c.alias(k) for k, c in T.steps(F.col("text"), T.NormalizeOptions(whole_lines=False)).items()))
+    return T.normalized(s, "text", T.NormalizeOptions(whole_lines=False))
 
 
 @_query

@@ -1,12 +1,13 @@
-"""Text repair as Column functions; the order of the steps in `normalize` is part of the meaning."""
+"""Text repair as Column functions; the order of the steps in `normalized` is part of the meaning."""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters and words that the rules are about.
@@ -158,48 +159,56 @@ def typography(text: Column) -> Column:
     return F.translate(text, TYPOGRAPHY_FROM, TYPOGRAPHY_TO)
 
 
-def normalize(text: Column, options: NormalizeOptions = NormalizeOptions()) -> Column:
-    """All chosen steps in their order. Null stays null."""
-    return steps(text, options)["text"]
+REPAIRS = ("mirrored", "brackets_repaired", "marks_removed", "zwnj_removed", "zwnj_added")
 
 
-def steps(text: Column, options: NormalizeOptions = NormalizeOptions()) -> dict[str, Column]:
-    """text, and what was repaired: mirrored (boolean), brackets_repaired, marks_removed, zwnj_removed, zwnj_added."""
-    o, found = options, {}
+def normalized(df: DataFrame, column: str = "text", options: NormalizeOptions = NormalizeOptions()) -> DataFrame:
+    """df with `column` normalized by all chosen steps in their order, and with what was repaired: mirrored (boolean),
+    brackets_repaired, marks_removed, zwnj_removed, zwnj_added. Null stays null, with null counts.
+
+    Each step is a projection of its own: a text that a step reads several times is computed once.
+    """
+    o = options
+    clash = [c for c in REPAIRS if c in df.columns and c != column]
+    if clash:
+        raise ValueError(f"columns in the way: {clash}")
+    text = F.col(column)
     if o.strip_bidi:
         text = strip_bidi(text, o.drop_zwj)
     if o.presentation_forms:
+        df, text = df.withColumn(column, text), F.col(column)
         text = presentation_forms(text)
+        df, text = df.withColumn(column, text), F.col(column)
     if o.fold or o.persian_digits:
         text = fold_letters(text)
     if o.ascii_digits:
         text = ascii_to_persian_digits(text)
     if o.drop_tatweel:
         text = drop_tatweel(text)
-    found["mirrored"] = looks_mirrored(text) if o.unmirror else F.lit(False)
+    df = df.withColumn(column, text)
+    t = F.col(column)
+    df = df.withColumn("mirrored", looks_mirrored(t) if o.unmirror else F.lit(False))
     if o.unmirror:
-        text = F.when(found["mirrored"], unmirror(text)).otherwise(text)
-    found["brackets_repaired"] = count_mirrored_brackets(text) if o.brackets else F.lit(0)
+        df = df.withColumn(column, F.when(F.col("mirrored"), unmirror(t)).otherwise(t))
     if o.brackets:
-        text = mirrored_brackets(text)
-    before = F.regexp_count(text, F.lit(f"[{MARKS}]"))
-    if o.marks:
-        text = detached_marks(text)
-    found["marks_removed"] = before - F.regexp_count(text, F.lit(f"[{MARKS}]"))
-    joints = lambda t: F.regexp_count(t, F.lit(ZWNJ))
-    before = joints(text)
-    if o.zwnj:
-        text = repair_zwnj(text)
-    found["zwnj_removed"] = before - joints(text)
-    before = joints(text)
-    if o.prefixes:
-        text = split_prefixes(text)
-    found["zwnj_added"] = joints(text) - before
+        df = df.withColumns({"brackets_repaired": count_mirrored_brackets(t), column: mirrored_brackets(t)})
+    else:
+        df = df.withColumn("brackets_repaired", F.lit(0))
+
+    def counted(df: DataFrame, name: str, what: str, change: Callable[[Column], Column], sign: int) -> DataFrame:
+        n = F.regexp_count(t, F.lit(what))
+        return df.withColumns({name: n, column: change(t)}).withColumn(name, (F.col(name) - n) * sign)
+
+    keep = lambda c: c
+    df = counted(df, "marks_removed", f"[{MARKS}]", detached_marks if o.marks else keep, 1)
+    df = counted(df, "zwnj_removed", ZWNJ, repair_zwnj if o.zwnj else keep, 1)
+    df = counted(df, "zwnj_added", ZWNJ, split_prefixes if o.prefixes else keep, -1)
+    text = t
     if o.whitespace:
         text = collapse_lines(text) if o.whole_lines else collapse_fragment(text)
     if o.typography:
         text = typography(text)
-    return {"text": text} | found
+    return df.withColumn(column, text)
 
 
 def has_private_use(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import settled
 
 LINE, PAGE = ("doc_id", "page_no", "line_no"), ("doc_id", "page_no")
 HEADING_RATIO, NOTE_RATIO, NOTE_REGION, FOLIO_REGION, RUNNING_PAGES, RUNNING_CHARS = 1.12, 0.94, 0.55, 0.85, 3, 60
@@ -128,7 +129,11 @@ def page_right_edge(lines_: DataFrame, body: DataFrame) -> DataFrame:
 
 
 def classified(lines_: DataFrame, pages: DataFrame) -> DataFrame:
-    """lines with body, tiers, median_gap, right_edge and class: blank, running, folio, note, heading or body."""
+    """lines with body, tiers, median_gap, right_edge and class: blank, running, folio, note, heading or body.
+
+    The lines are written once to shared storage: six figures of theirs are computed, each in a pass of its own over few columns.
+    """
+    lines_ = settled(lines_)
     histogram = size_histogram(lines_)
     body = body_size(histogram)
     heads = running_heads(lines_, pages).select("doc_id", F.col("text").alias("stripped"), F.lit(True).alias("running"))

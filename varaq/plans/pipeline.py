@@ -13,22 +13,20 @@ from ..operators import layout, outline, package, render
 from ..sources.readers import first_pages, guarded
 
 
-def normalized(spans: DataFrame, options: T.NormalizeOptions = T.NormalizeOptions()) -> DataFrame:
-    """spans with repaired texts; a span is a fragment of a line, so a space at its ends stays."""
-    return spans.withColumn("text", T.normalize(F.col("text"), replace(options, whole_lines=False)))
+def repaired(spans: DataFrame, options: T.NormalizeOptions = T.NormalizeOptions()) -> DataFrame:
+    """spans with repaired texts and the counts of repairs; a span is a fragment of a line, so a space at its ends stays."""
+    return T.normalized(spans, "text", replace(options, whole_lines=False))
 
 
 def repairs(spans: DataFrame, options: T.NormalizeOptions = T.NormalizeOptions()) -> DataFrame:
     """doc_id and the sums of what was repaired in its spans (each span once)."""
-    found = T.steps(F.col("text"), replace(options, whole_lines=False))
-    rows = spans.select("doc_id", "page_no", "line_no", "span_no", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    rows = rows.select("doc_id", *(found[k].cast("int").alias(k) for k in ("mirrored", "brackets_repaired", "marks_removed", "zwnj_removed", "zwnj_added")))
-    return rows.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in rows.columns[1:]))
+    rows = repaired(spans.where("text is not null").select("doc_id", "page_no", "line_no", "span_no", "text").distinct(), options)
+    return rows.groupBy("doc_id").agg(*(F.sum(F.col(c).cast("int")).alias(c) for c in T.REPAIRS))
 
 
 def built_blocks(spans: DataFrame, pages: DataFrame, keep_notes: bool = True, max_pages: int | None = None, options: T.NormalizeOptions | None = T.NormalizeOptions()) -> DataFrame:
     sound, _ = guarded(first_pages(spans, max_pages))
-    return B.build(normalized(sound, options) if options else sound, first_pages(pages, max_pages), keep_notes)
+    return B.build(repaired(sound, options) if options else sound, first_pages(pages, max_pages), keep_notes)
 
 
 def books(blocks: DataFrame, titles: DataFrame, options: render.RenderOptions = render.RenderOptions()) -> DataFrame:
