@@ -12,9 +12,11 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 #: Letters of other scripts that look like Latin ones: fixed values, in pairs.
 LATIN_LOOKALIKES = (
     "аa еe оo рp сc уy хx іi јj ѕs ԁd һh ԛq ԝw ӏl ѵv АA ВB ЕE КK МM НH ОO РP СC ТT ХX УY ІI ЈJ ЅS ԌG ҺH ԚQ ԜW ӀI ѴV "
@@ -165,7 +167,8 @@ def same_look_pairs(blocks: DataFrame) -> DataFrame:
     Equal rows count once; null ids or texts never pair; an id with two texts pairs with others, never with itself.
     """
     rows = blocks.where("block_id is not null and text is not null").select("block_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2")).distinct()
-    form = forms(blocks.where("block_id is not null").select("text")).select("h1", "h2", F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(7)).alias("f2"))
+    hashed = forms(blocks.where("block_id is not null").select("text")).select("h1", "h2", F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(7)).alias("f2"))
+    form = settled(hashed)  # four numbers a text, read twice
     several = form.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     kept = rows.join(form.join(several, ["f1", "f2"]), ["h1", "h2"])
     a = kept.select("f1", "f2", F.col("block_id").alias("block_a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
