@@ -32,9 +32,10 @@ LANGUAGES = [*FUNCTION_WORDS, *FUNCTION_SYLLABLES]
 CLASSES = ("function", "word", "capital", "number", "mixed", "comma", "end", "symbol", "leader", "repeat")
 #: Shares of CLASSES in typical blocks of each structure; prose is only the start for the learned profiles.
 PROFILES = {
-    "prose": [(0.22, 0.56, 0.07, 0.01, 0.005, 0.045, 0.08, 0.01, 0.0, 0.0), (0.10, 0.66, 0.04, 0.02, 0.0, 0.06, 0.11, 0.01, 0.0, 0.0), (0.22, 0.60, 0.01, 0.01, 0.0, 0.15, 0.01, 0.0, 0.0, 0.0), (0.03, 0.78, 0.01, 0.01, 0.0, 0.15, 0.02, 0.0, 0.0, 0.0)],
+    "prose": [(0.22, 0.56, 0.07, 0.01, 0.005, 0.045, 0.08, 0.01, 0.0, 0.0), (0.10, 0.66, 0.04, 0.02, 0.0, 0.06, 0.11, 0.01, 0.0, 0.0), (0.24, 0.61, 0.01, 0.01, 0.0, 0.12, 0.01, 0.0, 0.0, 0.0), (0.03, 0.80, 0.01, 0.01, 0.0, 0.13, 0.02, 0.0, 0.0, 0.0)],
     "list": [
         (0.22, 0.45, 0.02, 0.0, 0.01, 0.30, 0.0, 0.0, 0.0, 0.0),
+        (0.26, 0.51, 0.0, 0.0, 0.0, 0.23, 0.0, 0.0, 0.0, 0.0),
         (0.0, 0.66, 0.02, 0.0, 0.01, 0.31, 0.0, 0.0, 0.0, 0.0),
         (0.18, 0.44, 0.19, 0.0, 0.0, 0.0, 0.0, 0.19, 0.0, 0.0),
         (0.0, 0.56, 0.19, 0.0, 0.0, 0.0, 0.0, 0.25, 0.0, 0.0),
@@ -83,22 +84,25 @@ def block_features(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id", "block_
     """
     bare = F.regexp_replace("text", _NOTE_MARK, "")
     t = blocks.where("text is not null").select(*keys, F.lower(bare).alias("low"), bare.alias("t"), F.length("text").alias("chars"))
-    hits = {k: _count(_words(w), "low") for k, w in FUNCTION_WORDS.items()}
-    hits |= {"zh": _count(f"[{FUNCTION_SYLLABLES['zh']}]"), "ja": _count(f"[{FUNCTION_SYLLABLES['ja']}]"), "th": _count(FUNCTION_SYLLABLES["th"])}
-    cjk, kana = _count(_CJK), _count(r"[\p{IsHiragana}\p{IsKatakana}]")
+    # a language's words are looked for only in texts of its script, and rare signs only where they can be
+    has = lambda chars, count: F.when(F.col("t").rlike(f"[{chars}]"), count).otherwise(F.lit(0))
+    hits = {k: has({"ru": "а-я", "fa": "ا-ی", "ar": "ا-ی"}.get(k, "A-Za-z"), _count(_words(w), "low")) for k, w in FUNCTION_WORDS.items()}
+    asian = "\\x{e00}-\\x{e7f}\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}"
+    hits |= {"zh": has(asian, _count(f"[{FUNCTION_SYLLABLES['zh']}]")), "ja": has(asian, _count(f"[{FUNCTION_SYLLABLES['ja']}]")), "th": has(asian, _count(FUNCTION_SYLLABLES["th"]))}
+    cjk, kana = has(asian, _count(_CJK)), has(asian, _count(r"[\p{IsHiragana}\p{IsKatakana}]"))
     cols = {f"f_{k}": v for k, v in hits.items()} | {
         "letters": _count(r"[\p{L}\p{M}]"),
         "cjk": cjk,
         "kana": kana,
-        "thai": _count(r"\p{IsThai}"),
+        "thai": has(asian, _count(r"\p{IsThai}")),
         "tokens": _count(rf"{_LETTER}+"),
-        "capital": _count(rf"(?<![\p{{L}}\p{{N}}.!?…«“\"] )(?<!^)(?<![\p{{L}}\p{{M}}\p{{N}}])[A-ZА-ЯЁ]\p{{Ll}}+"),
-        "number": _count(r"(?<![\p{L}\p{N}])[±]?\p{Nd}+(?:[.,٫]\p{Nd}+)*%?(?![\p{L}\p{N}])"),
-        "mixed": _count(r"(?<![^\s])(?=[^\s]*[\p{L}])(?=[^\s]*[\p{N}+/|~;:{}\[\]<>=])[\p{L}\p{N}+/|~;:{}\[\]<>=']{2,}(?<![:;])(?![^\s])"),
+        "capital": has("A-ZА-ЯЁ", _count(rf"(?<![\p{{L}}\p{{N}}.!?…«“\"] )(?<!^)(?<![\p{{L}}\p{{M}}\p{{N}}])[A-ZА-ЯЁ]\p{{Ll}}+")),
+        "number": has("\\p{Nd}", _count(r"(?<![\p{L}\p{N}])[±]?\p{Nd}+(?:[.,٫]\p{Nd}+){0,9}%?(?![\p{L}\p{N}])")),
+        "mixed": has("\\p{N}+/|~;:{}\\[\\]<>=", _count(r"(?<![^\s])(?=[^\s]*[\p{L}])(?=[^\s]*[\p{N}+/|~;:{}\[\]<>=])[\p{L}\p{N}+/|~;:{}\[\]<>=']{2,}(?<![:;])(?![^\s])")),
         "comma": _count(r"[,،、，;؛；]"),
         "ends": _count(r"[.!?؟。！？…]+(?=[\s\"'”’»」』）)\]]|$|[^\s\p{Nd}])"),
         "symbol": _count(r"[$+<=>^`|~*/\\{}\[\]_#@&•‣◦→%](?![\x{80}-\x{9f}\x{c0}-\x{ff}])|(?<=\s)-(?=\s)"),
-        "leader": _count(r"[·.]{3,}(?=\s*\p{Nd})"),
+        "leader": F.when(F.col("t").rlike("[·.]{3}"), _count(r"[·.]{3,}(?=\s*\p{Nd})")).otherwise(F.lit(0)),
         "again": _count(r"(?<![\p{L}\p{M}])([\p{L}\p{M}]{2,})(?= \1(?![\p{L}\p{M}]))"),
     }
     assert list(cols) == _RAW
