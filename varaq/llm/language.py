@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 240, 3000, 48_000
-MIN_MARGIN, MIN_LETTERS, LEVEL = 0.1, 8, 3
+MIN_MARGIN, MIN_LETTERS, LEVEL, PIECE = 0.1, 8, 3, 1500
 #: ISO 639 codes of three letters: fixed values.
 THREE = "eng en fre fr fra fr ger de deu de spa es por pt rus ru per fa fas fa ara ar chi zh zho zh jpn ja tha th ita it nld nl dut nl tur tr kor ko hin hi urd ur"
 
@@ -79,15 +79,17 @@ class Model:
     def classify(self, text: str, margin: float = MIN_MARGIN) -> tuple[str | None, float]:
         """(language or None, confidence): the confidence is the relative margin to the second best, from 0 to 1."""
         c = _scripts(text)
-        if c.total() < MIN_LETTERS and not (c["Han"] + c["Kana"] + c["Thai"] >= 4):
+        if not self.raw or c.total() < MIN_LETTERS and not (c["Han"] + c["Kana"] + c["Thai"] >= 4):
             return None, 0.0
         used = {n for n, x in c.items() if x > 0.25 * c.total()}
         names = [k for k in self.raw if self.scripts[k] & used] or list(self.raw)
         if c["Kana"] > 0.1 * c.total():
             names = [k for k in names if "Kana" in self.scripts[k]] or names
-        data = text.encode("utf-8", "replace")
-        sizes = sorted((len(self.press[k].compress(data)), k) for k in names)
-        second = sizes[1][0] if len(sizes) > 1 else len(self.plain.compress(data))
+        # long texts in pieces: within one piece a text would soon serve as its own dictionary
+        data = [text[i : i + PIECE].encode("utf-8", "replace") for i in range(0, len(text), PIECE)]
+        size = lambda press: sum(len(press.compress(d)) for d in data)
+        sizes = sorted((size(self.press[k]), k) for k in names)
+        second = sizes[1][0] if len(sizes) > 1 else size(self.plain)
         gap = (second - sizes[0][0]) / max(second, 1)
         return (sizes[0][1] if gap >= margin else None), max(gap, 0.0)
 

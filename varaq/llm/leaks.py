@@ -200,7 +200,9 @@ def _search(held: list[tuple], index: Index, known: dict, min_share: float) -> l
         a = at[0]
         for k, x in enumerate(at):  # stretches around the hits, so that a long post is aligned only where it may match
             if k == len(at) - 1 or at[k + 1] - x > reach:
-                best = max(best, coverage(q, p[max(a - reach, 0) : x + WINDOW + reach]))
+                first, last = max(a - reach, 0), x + WINDOW + reach
+                for cut in range(first, max(last - reach, first + 1), 20 * len(q)):  # and in steps, so that memory stays bounded
+                    best = max(best, coverage(q, p[cut : min(cut + 20 * len(q) + reach, last)]))
                 a = at[k + 1] if k < len(at) - 1 else a
         share = best[0] / len(q)
         if share >= min_share - 1e-9:
