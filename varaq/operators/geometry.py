@@ -80,7 +80,7 @@ def band_spans(banded: DataFrame) -> DataFrame:
     inside = Window.partitionBy(*PAGE, "band").orderBy("loc", "seg_no", "k")
     new = (F.col("k") > 0) | F.lag("seg_no").over(inside).isNull() | (F.lag("seg_no").over(inside) != F.col("seg_no"))
     numbered = parts.withColumn("new", new.cast("int"))
-    return numbered.withColumn("span_no", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - 1).select(*PAGE, "band", "span_no", "text", "size", "font")
+    return numbered.withColumn("span_no", (F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).select(*PAGE, "band", "span_no", "text", "size", "font")
 
 
 def filled_fonts(characters: DataFrame, order: str = "at") -> DataFrame:

@@ -352,3 +352,27 @@ ORACLES = {
     "pred_new_files": "SELECT DISTINCT path FROM (SELECT upper(path) AS path FROM books UNION ALL SELECT path FROM books) WHERE lower(path) LIKE '%.pdf' AND path NOT IN (SELECT path FROM books WHERE total_pages > 2)",
 }
 ORACLES["pred_arabic_corpus"] = f"SELECT * FROM ({ORACLES['s06_probe']}) WHERE ratio > 0.25 AND arabic > 400 ORDER BY ratio DESC, doc_id LIMIT 30"
+
+_STYLED = f"""
+    wrd AS (SELECT num.doc_id, num.block_no, num.page_no, num.line_no, span_no, sp.text, coalesce(regexp_matches(font, '(?i)bold|black|heavy|semibold|demi'), false) AS bold, coalesce(regexp_matches(font, '(?i)italic|oblique'), false) AS italic
+            FROM num JOIN sp USING (doc_id, page_no, line_no) WHERE sp.text <> ''),
+    sep AS (SELECT doc_id, block_no, page_no, line_no, -1 AS span_no, ' ' AS text, false AS bold, false AS italic FROM (SELECT DISTINCT doc_id, block_no, page_no, line_no FROM wrd) QUALIFY row_number() OVER (PARTITION BY doc_id, block_no ORDER BY page_no, line_no) > 1),
+    allr AS (SELECT * FROM wrd UNION ALL SELECT * FROM sep),
+    isl AS (SELECT *, CASE WHEN lag(bold) OVER w = bold AND lag(italic) OVER w = italic THEN 0 ELSE 1 END AS new FROM allr WINDOW w AS (PARTITION BY doc_id, block_no ORDER BY page_no, line_no, span_no)),
+    rno AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id, block_no ORDER BY page_no, line_no, span_no ROWS UNBOUNDED PRECEDING) - 1)::INTEGER AS run_no FROM isl),
+    runs AS (SELECT doc_id, block_no, run_no, string_agg(text, '' ORDER BY page_no, line_no, span_no) AS text, bool_or(bold) AS bold, bool_or(italic) AS italic FROM rno GROUP BY ALL)"""
+_IN = "CASE WHEN bold THEN '<strong>' || " + _esc("text") + " || '</strong>' ELSE " + _esc("text") + " END"
+ORACLES |= {
+    "w06_style_runs": f"{_ALL}, {_block_rules(True)}, {_STYLED} SELECT * FROM runs",
+    "r01_inline": f"""{_ALL}, {_block_rules(True)}, {_STYLED}, inl AS (SELECT doc_id, block_no, string_agg(CASE WHEN italic THEN '<em>' || {_IN} || '</em>' ELSE {_IN} END, '' ORDER BY run_no) AS markup FROM runs GROUP BY ALL)
+        SELECT doc_id, block_no, coalesce(markup, '') AS markup FROM (SELECT DISTINCT doc_id, block_no FROM num) LEFT JOIN inl USING (doc_id, block_no)""",
+    "r04_contents": f"""WITH RECURSIVE {_STORED}, {_CHAPTERS}, {_NEST.format(t='ol')},
+        nd AS (SELECT ol.doc_id, ol.entry_no, title, chapter, anchor, depth, coalesce(lead(depth) OVER (PARTITION BY ol.doc_id ORDER BY ol.entry_no), 0) AS nxt FROM ol JOIN dp ON dp.doc_id = ol.doc_id AND dp.entry_no = ol.entry_no)
+        SELECT doc_id, '<ol>' || string_agg('<li><a href="' || printf('text/ch%03d.xhtml', chapter) || '#' || anchor || '">' || {_esc('title')} || '</a>' || CASE WHEN nxt > depth THEN '<ol>' ELSE '</li>' || repeat('</ol></li>', depth - nxt) END, '' ORDER BY entry_no) || '</ol>' AS toc FROM nd GROUP BY doc_id""",
+    "x09_band_spans": _BANDS + f""",
+        tx AS (SELECT doc_id, page_no, band, loc, seg_no, replace(regexp_replace(regexp_replace(text, '(\\S)\\n(\\S)', '\\1 \\2', 'g'), '(\\S)\\n(\\S)', '\\1 \\2', 'g'), chr(10), '') AS text, size, coalesce(font, '') AS font, x0, x1 FROM fold JOIN sg USING (doc_id, page_no, seg_no)),
+        pv AS (SELECT *, lag(text) OVER w AS pt, lag(size) OVER w AS ps, lag(x0) OVER w AS p0, lag(x1) OVER w AS p1 FROM tx WHERE text <> '' WINDOW w AS (PARTITION BY doc_id, page_no, band ORDER BY loc, seg_no)),
+        gp AS (SELECT *, coalesce(greatest(0.0, greatest(p0, x0) - least(p1, x1)) > greatest(2.5, ps * 0.2) AND NOT regexp_full_match(pt[-1], {_s('[' + WS[1:-1] + '«»()' + chr(92) + '[' + chr(92) + ']{}.,،؛؟!:;…ً-ٰٕ]')}) AND NOT regexp_full_match(text[1], {_s('[' + WS[1:-1] + '«»()' + chr(92) + '[' + chr(92) + ']{}.,،؛؟!:;…ً-ٰٕ]')}), false) AS space FROM pv),
+        al AS (SELECT doc_id, page_no, band, loc, seg_no, 1 AS k, text, size, font FROM gp UNION ALL SELECT doc_id, page_no, band, loc, seg_no, 0, ' ', ps, '' FROM gp WHERE space)
+        SELECT doc_id, page_no, band, (row_number() OVER (PARTITION BY doc_id, page_no, band ORDER BY loc, seg_no, k) - 1)::INTEGER AS span_no, text, size, font FROM al""",
+}
