@@ -8,9 +8,13 @@ piece before, computed with SQL array functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 SECTION = 512  # block numbers per section: the most blocks that meet in one row
 KEYS = ("doc_id", "chapter_no")
 
@@ -55,39 +59,48 @@ def split_chapters(blocks: DataFrame, limit: int = 2000, overlap: int = 200) ->
         rows.groupBy(*KEYS, section.alias("section"))
         .agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("block_no", "text"))), lambda b: b["text"]), "\n").alias("text"))
     )
+    # windows see lengths and tails only; texts stay where their sections are, however many a chapter has
     chapter = Window.partitionBy(*KEYS)
     ordered = chapter.orderBy("section")
-    sized = (
-        sections.withColumn("chars", F.length("text"))
-        .withColumn("chapter_chars", F.sum("chars").over(chapter) + F.count("*").over(chapter) - 1)
+    facts = sections.select(*KEYS, "section", F.length("text").alias("chars"), F.expr(f"right(concat(text, '\\n'), {overlap})").alias("tail"))
+    placed = (
+        facts.withColumn("chapter_chars", F.sum("chars").over(chapter) + F.count("*").over(chapter) - 1)
         .where(F.col("chapter_chars") > limit)
-        .withColumn("last", F.lead(F.lit(1)).over(ordered).isNull())
-        .withColumn("text", F.when(F.col("last"), F.col("text")).otherwise(F.concat("text", F.lit("\n"))))
-        .withColumn("base", F.coalesce(F.sum(F.length("text")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("before", F.lag(F.expr(f"right(text, {overlap})")).over(ordered))
+        .select(
+            *KEYS, "section", "chapter_chars", F.lead(F.lit(1)).over(ordered).isNull().alias("last"), F.lag("tail").over(ordered).alias("before"),
+            F.coalesce(F.sum(F.col("chars") + 1).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        )
     )
-    bodies = F.regexp_extract_all("text", F.lit(piece_pattern(limit - overlap)), F.lit(0))
-    cut = (
-        sized.withColumn("bodies", bodies)
+    both = _joined(sections, placed)
+    text = F.when(F.col("last"), F.col("text")).otherwise(F.concat("text", F.lit("\n")))
+    bodies = F.regexp_extract_all("whole", F.lit(piece_pattern(limit - overlap)), F.lit(0))
+    cut = settled(both.withColumn("whole", text).withColumn("bodies", bodies).drop("text", "whole", "last"))  # the pieces, once: they are counted, then read
+    first = F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbers = cut.select(*KEYS, "section", F.size("bodies").alias("n")).select(*KEYS, "section", first.alias("first"))
+    pieces = (
+        _joined(cut, numbers)
         .withColumn("ends", F.aggregate("bodies", F.array(F.lit(0).cast("long")), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + F.length(b)))))
-        .select(*KEYS, "section", "base", "before", "bodies", "ends", "chapter_chars", F.posexplode("bodies").alias("i", "body"))
+        .select(*KEYS, "base", "before", "bodies", "ends", "first", "chapter_chars", F.posexplode("bodies").alias("i", "body"))
     )
     back = F.when(F.col("i") > 0, F.expr("bodies[i - 1]")).otherwise(F.col("before"))
     lookback = F.regexp_extract(F.expr(f"right(previous, {overlap})"), lookback_pattern(overlap), 0) if overlap else F.lit("")
-    return (
-        cut.withColumn("previous", back)
-        .withColumn("overlap", F.coalesce(lookback, F.lit("")))
-        .select(
-            *KEYS,
-            (F.row_number().over(Window.partitionBy(*KEYS).orderBy("section", "i")) - 1).alias("piece_no"),
-            (F.col("base") + F.expr("ends[i]")).alias("start_pos"),
-            "overlap",
-            "body",
-            "chapter_chars",
-        )
+    return pieces.withColumn("previous", back).select(
+        *KEYS,
+        (F.col("first") + F.col("i")).cast("int").alias("piece_no"),
+        (F.col("base") + F.expr("ends[i]")).alias("start_pos"),
+        F.coalesce(lookback, F.lit("")).alias("overlap"),
+        "body",
+        "chapter_chars",
     )
 
 
+def _joined(sections: DataFrame, facts: DataFrame) -> DataFrame:
+    """sections with the facts about them; null keys meet as well."""
+    right = facts.select(*(F.col(c).alias(f"r_{c}" if c in (*KEYS, "section") else c) for c in facts.columns))
+    same = [sections[c].eqNullSafe(right[f"r_{c}"]) for c in (*KEYS, "section")]
+    return sections.join(right, reduce(lambda a, b: a & b, same)).drop(*(f"r_{c}" for c in (*KEYS, "section")))
+
+
 def found(blocks: DataFrame, limit: int = 2000) -> DataFrame:
     """Each chapter that had to be cut."""
     return split_chapters(blocks, limit).where("piece_no = 0").select("doc_id", "chapter_no")
