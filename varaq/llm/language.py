@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 240, 3000, 48_000
-MIN_MARGIN, MIN_LETTERS, LEVEL, PIECE = 0.1, 8, 3, 1500
+MIN_MARGIN, MIN_LETTERS, LEVEL, PIECE, SHORT = 0.1, 8, 3, 1500, 30
 #: ISO 639 codes of three letters: fixed values.
 THREE = "eng en fre fr fra fr ger de deu de spa es por pt rus ru per fa fas fa ara ar chi zh zho zh jpn ja tha th ita it nld nl dut nl tur tr kor ko hin hi urd ur"
 
@@ -26,6 +26,8 @@ _FENCE = re.compile(r"^[ ]{0,3}(```|~~~).*?(?:^[ ]{0,3}\1[^\n]*$|\Z)", re.S | re
 _PRE = re.compile(r"<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)", re.S | re.I)
 _INDENT = re.compile(r"^(?: {4}|\t)[^\n]*$", re.M)
 _INLINE = re.compile(r"`[^`\n]*`|!?\[[^\]\n]*\]\([^)\n]*\)|<[^<>\n]{1,300}>|\b(?:https?|ftp)://\S+|\bwww\.\S+|\S+@\S+\.\S+|\b\w[\w-]*\.(?:txt|ini|py|conf|js|json|sql|xml|csv|log|md)\b")
+#: A line of code that nothing marks as such: calls, braces, assignments, statements, prompts and traces.
+_CODE = re.compile(r"^\$ |^[\w.]+: error: |[{}]|;$|^\w+\(|\w\[\w| [=<>]=? |^def \w+\(|^(?:SELECT|WHERE|GROUP BY|FROM) |^return \[|^Traceback|^\w+Error: |\.py line \d")
 _SCRIPTS = (("Thai", "฀-๿"), ("Kana", "぀-ヿ"), ("Han", "㐀-鿿"), ("Hangul", "가-힯"), ("Arabic", "؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-ﻼ"), ("Cyrillic", "Ѐ-ԯ"), ("Greek", "Ͱ-Ͽ"), ("Hebrew", "֐-׿"), ("Devanagari", "ऀ-ॿ"), ("Latin", "A-Za-zÀ-ɏ"))
 _SCRIPT_RE = [(n, re.compile(f"[{c}]")) for n, c in _SCRIPTS]
 
@@ -47,12 +49,18 @@ def prose_lines(text: str) -> list[tuple[int, int, str]]:
     for r in (_FENCE, _PRE, _INDENT):
         text = r.sub(_blank, text)
     text = _INLINE.sub(_blank, text)
-    out, at = [], 0
+    out: list[tuple[int, int, str]] = []
+    at, quoted = 0, False
     for line in text.split("\n"):
         kept = re.sub(r"^[\s>#*+•-]+", "", line).strip()
-        if kept:
+        quote = line.lstrip().startswith(">")
+        if kept and not _CODE.search(kept):
             start = at + line.index(kept)
-            out.append((start, start + len(kept), kept))
+            if quote and quoted and out:  # lines of one quotation are one paragraph
+                out[-1] = (out[-1][0], start + len(kept), f"{out[-1][2]} {kept}")
+            else:
+                out.append((start, start + len(kept), kept))
+        quoted = quote and bool(kept)
         at += len(line) + 1
     return out
 
@@ -91,7 +99,8 @@ class Model:
         sizes = sorted((size(self.press[k]), k) for k in names)
         second = sizes[1][0] if len(sizes) > 1 else size(self.plain)
         gap = (second - sizes[0][0]) / max(second, 1)
-        return (sizes[0][1] if gap >= margin else None), max(gap, 0.0)
+        narrow = margin if c.total() >= SHORT else 2.5 * margin  # a few words are easily mistaken
+        return (sizes[0][1] if gap >= narrow else None), max(gap, 0.0)
 
 
 def _dictionaries(lines: dict[str, list[str]]) -> dict[str, bytes]:
