@@ -4,7 +4,7 @@ Method: items and posts are cut into windows of WINDOW words at every word; each
 of its words and word pairs. The items' fingerprints are indexed by RADIUS + 1 blocks of their bits: two
 fingerprints within RADIUS share at least one block whole, so no pair within the radius is missed. Posts that
 hit an item are then verified exactly: a local alignment of weighted words (match, other word, left-out word)
-must cover at least MIN_SHARE of the item's words.
+must cover at least MIN_SHARE of the item's words and be matches for MIN_DENSITY of its length in the post.
 
 The items are the stated query set: they are few, checked against MAX_ITEM_BYTES and sent to every task, and
 each post is compared where it lies. There is no join and no shuffle of the posts' texts; a larger item set is
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, RADIUS, MIN_SHARE = 7, 3, 0.4
+WINDOW, RADIUS, MIN_SHARE, MIN_DENSITY = 7, 3, 0.4, 0.6
 OTHER, LEFT_OUT, SWAPPED = 0.35, 0.35, 0.6  # costs in words of the alignment
 MAX_ITEM_BYTES = 8_000_000
 
@@ -205,7 +205,7 @@ def _search(held: list[tuple], index: Index, known: dict, min_share: float) -> l
                     best = max(best, coverage(q, p[cut : min(cut + 20 * len(q) + reach, last)]))
                 a = at[k + 1] if k < len(at) - 1 else a
         share = best[0] / len(q)
-        if share >= min_share - 1e-9:
+        if share >= min_share - 1e-9 and best[0] >= MIN_DENSITY * (best[2] - best[1]):
             out.append((held[doc][0], item_id, share, best[2] - best[1]))
     return out
 
