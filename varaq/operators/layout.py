@@ -26,17 +26,19 @@ def is_italic(font: Column) -> Column:
     return F.coalesce(font.rlike(ITALIC), F.lit(False))
 
 
-def distinct_spans(spans: DataFrame) -> DataFrame:
-    """Each span once; a null text is an empty one."""
-    return spans.select("doc_id", "page_no", "line_no", "span_no", F.coalesce("text", F.lit("")).alias("text"), "size", "font", "x0", "top", "x1", "bottom").distinct()
+def distinct_spans(spans: DataFrame, *by: str) -> DataFrame:
+    """Each span once; a null text is an empty one. One shuffle, by the keys that the next step needs (document and page)."""
+    columns = spans.select("doc_id", "page_no", "line_no", "span_no", F.coalesce("text", F.lit("")).alias("text"), "size", "font", "x0", "top", "x1", "bottom")
+    return columns.repartition(*(by or PAGE)).distinct()
 
 
 def lines(spans: DataFrame) -> DataFrame:
     """One row per line: text, size (that of most characters, to a tenth, ties to the first span), bold and italic (of the longest
     span, ties to the first), chars, box, x_center, fonts (in order of appearance) and runs (the spans in order)."""
     part = F.struct("span_no", "text", F.round("size", 1).alias("size"), "font")
-    grouped = distinct_spans(spans).groupBy(*LINE).agg(
-        F.array_sort(F.collect_list(part)).alias("runs"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom")
+    rows = spans.withColumn("text", F.coalesce("text", F.lit("")))
+    grouped = rows.groupBy(*LINE).agg(  # repeated rows fall together in the set, so one shuffle does
+        F.array_sort(F.collect_set(part)).alias("runs"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom")
     )
     sizes = F.array_distinct(F.transform("runs", lambda r: r["size"]))
     weight = lambda z: F.aggregate(F.filter("runs", lambda r: r["size"].eqNullSafe(z)), F.lit(0), lambda n, r: n + F.length(r["text"]))

@@ -13,8 +13,8 @@ HEADING = r"^h[1-3]$"
 
 
 def plain_blocks(blocks: DataFrame) -> DataFrame:
-    """Each stored block once, as the outline operators read it; a null text is an empty one."""
-    return blocks.select("doc_id", "block_no", "kind", "level", "page_no", F.coalesce("text", F.lit("")).alias("text"), "first_line_indent_em", "space_before_em").distinct()
+    """Each stored block once, as the outline operators read it; a null text is an empty one. One shuffle by document serves all that follows."""
+    return blocks.select("doc_id", "block_no", "kind", "level", "page_no", F.coalesce("text", F.lit("")).alias("text"), "first_line_indent_em", "space_before_em").repartition("doc_id").distinct()
 
 
 def cut_levels(blocks: DataFrame, level: int = 1) -> DataFrame:
