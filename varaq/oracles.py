@@ -376,3 +376,6 @@ ORACLES |= {
         al AS (SELECT doc_id, page_no, band, loc, seg_no, 1 AS k, text, size, font FROM gp UNION ALL SELECT doc_id, page_no, band, loc, seg_no, 0, ' ', ps, '' FROM gp WHERE space)
         SELECT doc_id, page_no, band, (row_number() OVER (PARTITION BY doc_id, page_no, band ORDER BY loc, seg_no, k) - 1)::INTEGER AS span_no, text, size, font FROM al""",
 }
+_RAW_SPANS = "SELECT DISTINCT doc_id, page_no, line_no, span_no, coalesce(text, '') AS text, size, font, x0, top, x1, bottom FROM spans"
+_REPAIRED = f"SELECT DISTINCT s.doc_id, s.page_no, s.line_no, s.span_no, coalesce(n.text, '') AS text, size, font, x0, top, x1, bottom FROM spans s LEFT JOIN normal n USING ({_K})"
+ORACLES["blocks_normalized"] = ORACLES["blocks"].replace("WITH RECURSIVE ", f"WITH RECURSIVE {_NORMAL}, ", 1).replace(_RAW_SPANS, _REPAIRED, 1)
