@@ -26,7 +26,7 @@ PREFIX_EXCEPTIONS = (
 LETTERS = "ابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهیءآأإئؤة۰۱۲۳۴۵۶۷۸۹"
 FUNCTION_WORDS = "و در به از که این را با برای است یک آن تا هم بود شد بر خود او ما شما ولی اما یا اگر چون همه هر دو سه نیز بی چند روی".split()
 HEADING_WORDS = "فصل بخش گفتار دفتر پیشگفتار پیش‌گفتار مقدمه دیباچه ضمیمه کتابنامه منابع نمایه پیوست نتیجه".split()
-EDITION_WORDS = "نسخهٔ نسخه ویرایش چاپ".split()
+EDITION_WORDS = "نسخه نسخهٔ ویرایش چاپ".split()
 PRESENTATION_RANGES = ((0xFB50, 0xFDFF), (0xFE70, 0xFEFF))
 _HOLD = "\ue000"  # stands for "keep this mark"; private-use text never gets this far (see has_private_use)
 

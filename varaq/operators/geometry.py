@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .layout import PAGE, distinct_pages, distinct_spans
 
+# Points, a share of the size, and the punctuation and marks beside which no space is missing.
 Y_TOLERANCE, GAP_FLOOR, GAP_RATIO = 4.0, 2.5, 0.20
 TIGHT = "[«»()\\[\\]{}.,،؛؟!:;…ً-ٰٕ]"
 

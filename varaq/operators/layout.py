@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..session import settled
 
 LINE, PAGE = ("doc_id", "page_no", "line_no"), ("doc_id", "page_no")
+# Shares of the body size and of the page, limits, and words in font names.
 HEADING_RATIO, NOTE_RATIO, NOTE_REGION, FOLIO_REGION, RUNNING_PAGES, RUNNING_CHARS = 1.12, 0.94, 0.55, 0.85, 3, 60
 SCANNED_CHARS = 40
 BOLD, ITALIC = "(?i)bold|black|heavy|semibold|demi", "(?i)italic|oblique"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .schemas import PAGES, SPANS
 
+# Font files, the least size of a document, the pages that a probe reads, and Arabic script.
 FONT_SUFFIXES, SMALLEST_FILE, PROBE_PAGES = ("ttf", "otf", "ttc"), 20_000, 4
 ARABIC = "[؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿]"
 
