@@ -333,3 +333,16 @@ def test_labels(spark):
 def test_unlabelled_corpus(spark):
     docs = spark.createDataFrame([(1, "some words without any label at all", None, "s", 0.0, 1)], DOCS)
     assert language.found(docs).count() == 0 and language.document_languages(docs).count() == 1
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("او رفت. ر.ک. ص. ۱۲، که آمد. نامه رسید.", ["او رفت.", "ر.ک. ص. ۱۲، که آمد.", "نامه رسید."]),
+    ("月台遮住了⼭⾕。沃拉姆说好。", ["月台遮住了⼭⾕。", "沃拉姆说好。"]),
+    ("彼が運んた゛。次の日。", ["彼が運んた゛。", "次の日。"]),
+    ("It fell. vel­tek.txt names it.", ["It fell.", "vel­tek.txt names it."]),
+    ("谁会相信？！ｐｏｍ.ｔｘｔ里有４个！", ["谁会相信？！", "ｐｏｍ.ｔｘｔ里有４个！"]),
+])
+def test_sentences_in_disguise(text, expected):
+    """With the statistics that a Persian corpus gives, and with characters that only look like others."""
+    stats = {"pure": {("fa", "ک"), ("fa", "ص")}, "short": set(), "on": set(), "words": {"fa", "en"}}
+    assert [text[a:b] for a, b in sentences.split(text, stats)] == expected
