@@ -6,6 +6,7 @@ import unicodedata
 
 from .functions import text as T
 from .operators import fonts as FT
+from .operators.render import stylesheet
 
 WS = "[\\s\\x{0b}\\x{85}\\p{Z}]"
 _K = "doc_id, page_no, line_no, span_no"
@@ -379,3 +380,10 @@ ORACLES |= {
 _RAW_SPANS = "SELECT DISTINCT doc_id, page_no, line_no, span_no, coalesce(text, '') AS text, size, font, x0, top, x1, bottom FROM spans"
 _REPAIRED = f"SELECT DISTINCT s.doc_id, s.page_no, s.line_no, s.span_no, coalesce(n.text, '') AS text, size, font, x0, top, x1, bottom FROM spans s LEFT JOIN normal n USING ({_K})"
 ORACLES["blocks_normalized"] = ORACLES["blocks"].replace("WITH RECURSIVE ", f"WITH RECURSIVE {_NORMAL}, ", 1).replace(_RAW_SPANS, _REPAIRED, 1)
+_TITLE_PAGE = f"""CASE WHEN title = '' AND author = '' THEN '' ELSE '<section class="titlepage" epub:type="titlepage">' || CASE WHEN title <> '' THEN '<p class="book-title">' || {_esc('title')} || '</p>' ELSE '' END
+        || CASE WHEN author <> '' THEN '<p class="book-author">' || {_esc('author')} || '</p>' ELSE '' END || '</section>' END"""
+_STYLE = "</title><style>\n" + stylesheet() + "body { max-width: 34em; margin: 0 auto; }\n</style></head>\n"
+ORACLES["s11_preview"] = f"""WITH {_STORED}, {_CHAPTERS}, {_MARKUP}, {_BOOKS}, t AS (SELECT doc_id, {_T} AS title, {_A} AS author FROM latest),
+        g AS (SELECT doc_id, string_agg(markup, chr(10) ORDER BY block_no) AS body FROM md WHERE markup <> '' GROUP BY doc_id)
+        SELECT doc_id, {_s('<!DOCTYPE html>' + chr(10) + '<html lang="fa-IR" dir="rtl">' + chr(10) + '<head><meta charset="utf-8"/><title>')} || {_esc("CASE WHEN coalesce(title, '') <> '' THEN title ELSE 'preview' END")} || {_s(_STYLE + '<body dir="rtl">' + chr(10))}
+        || concat_ws(chr(10), nullif({_TITLE_PAGE.replace("title = ''", "coalesce(title, '') = ''").replace("author = ''", "coalesce(author, '') = ''")}, ''), body) || {_s(chr(10) + '</body>' + chr(10) + '</html>' + chr(10))} AS html FROM g LEFT JOIN t USING (doc_id)"""
