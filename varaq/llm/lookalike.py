@@ -170,10 +170,15 @@ def same_look_pairs(blocks: DataFrame) -> DataFrame:
     hashed = forms(blocks.where("block_id is not null").select("text")).select("h1", "h2", F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(7)).alias("f2"))
     form = settled(hashed)  # four numbers a text, read twice
     several = form.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    kept = rows.join(form.join(several, ["f1", "f2"]), ["h1", "h2"])
-    a = kept.select("f1", "f2", F.col("block_id").alias("block_a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    b = kept.select("f1", "f2", F.col("block_id").alias("block_b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    return a.join(b, ["f1", "f2"]).where("block_a < block_b and (a1 <> b1 or a2 <> b2)").select("block_a", "block_b").distinct()
+    kept = form.join(several, ["f1", "f2"])
+    # texts meet texts first, then their blocks: many copies of one text are never compared with each other
+    one = kept.select("f1", "f2", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
+    other = kept.select("f1", "f2", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    texts = one.join(other, ["f1", "f2"]).where("a1 < b1 or (a1 = b1 and a2 < b2)").select("a1", "a2", "b1", "b2")
+    left = rows.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("block_id").alias("x"))
+    right = rows.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("block_id").alias("y"))
+    pairs = texts.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("block_a"), F.greatest("x", "y").alias("block_b")).distinct()
 
 
 def found(blocks: DataFrame) -> DataFrame:
