@@ -235,7 +235,7 @@ def test_leaks(spark):
     shuffled = sorted(words, key=lambda w: hash(w[::-1]) % 97)
     texts = {1: "Before. " + ITEM + " After.", 2: half.upper().replace(" ", "\n"), 3: edited, 4: " ".join(words[:8]), 5: " ".join(sorted(words)), 6: "Read this carefully.", 7: None, 8: "", 9: "<p>" + " ".join(f"<b>{w}</b>" for w in words) + "</p>", 10: LONG + half, 11: (ITEM + " ") * 300}
     docs = spark.createDataFrame([(d, t, "en", "s", 0.0, 1) for d, t in texts.items()] + [(1, texts[1], "en", "s", 0.0, 1), (None, ITEM, "", "", 0.0, 1)], DOCS)
-    items = spark.createDataFrame([(1, "Read this carefully.\n" + ITEM), (1, "Read this carefully.\n" + ITEM), (2, None), (3, "too short")], "item_id bigint, text string")
+    items = spark.createDataFrame([(1, "Read this carefully.\n" + ITEM), (1, "Read this carefully.\n" + ITEM), (2, None), (3, "too short"), (4, "")], "item_id bigint, text string")
     assert {tuple(r) for r in leaks.found(docs, items).collect()} == {(d, 1) for d in (1, 2, 3, 9, 10, 11)}
     assert leaks.found(docs.limit(0), items).count() == 0 and leaks.found(docs, items.limit(0)).count() == 0
     del shuffled
@@ -245,14 +245,67 @@ def test_blocks_find_every_fingerprint_within_the_radius():
     import numpy as np
 
     rnd = np.random.default_rng(1)
-    item = [f"w{i}" for i in range(60)]
-    index = leaks.Index([(1, item)])
-    near = index.fp.copy()
-    for i in range(len(near)):
-        for b in rnd.choice(64, leaks.RADIUS, replace=False):
-            near[i] ^= np.uint64(1) << np.uint64(b)
-    w, _ = index.hits(near)
-    assert set(w) >= set(range(len(near)))
+    for words in (60, 10, 3):
+        index = leaks.Index([(1, [f"w{i}" for i in range(words)])])
+        (size,) = index.sizes
+        near = index.by_size[size][0].copy()
+        for i in range(len(near)):
+            for b in rnd.choice(64, leaks.RADIUS, replace=False):
+                near[i] ^= np.uint64(1) << np.uint64(b)
+        w, _ = index.hits(near, size)
+        assert set(w) >= set(range(len(near)))
+
+
+def test_fingerprints_against_counting():
+    import numpy as np
+
+    h = leaks._Hashes().of([f"w{i % 9}" for i in range(40)])
+    p = leaks._pairs(h)
+    for size in range(1, 8):
+        for i, f in enumerate(leaks.fingerprints(h, size)):
+            votes = [int(x) for x in [*h[i : i + size], *p[i : i + size - 1]]]
+            assert int(f) == sum((sum(v >> b & 1 for v in votes) * 2 > len(votes)) << b for b in range(64))
+    assert leaks.fingerprints(h[:0], 3).size == 0 and len(leaks.fingerprints(h[:3], 3)) == 1
+
+
+def test_leaks_against_aligning_everything(spark):
+    """Every item against every post by alignment alone, and both ways that items travel."""
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = {i: rnd.choices(vocabulary, k=rnd.choice([3, 5, 8, 12, 16, 17, 40, 90])) for i in range(24)}
+    texts = {}
+    for d in range(160):
+        q = items[d % 24]
+        n = max(1, round(len(q) * rnd.choice([0.2, 0.45, 0.6, 1.0])))
+        a = rnd.randint(0, len(q) - n)
+        part = list(q[a : a + n])
+        if rnd.random() < 0.4:
+            part[8::9] = ["edited"] * len(part[8::9])
+        texts[d] = " ".join(rnd.choices(vocabulary, k=30) + part + rnd.choices(vocabulary, k=30))
+    docs = spark.createDataFrame([(d, t, "en", "s", 0.0, 1) for d, t in texts.items()], DOCS)
+    table = spark.createDataFrame([(i, " ".join(q)) for i, q in items.items()], "item_id bigint, text string")
+    want = set()
+    for d, t in texts.items():
+        for i, q in items.items():
+            m, a, b = leaks.coverage(q, leaks.words(t))
+            if m >= leaks.MIN_SHARE * len(q) - 1e-9 and m >= leaks.MIN_DENSITY * (b - a):
+                want.add((d, i))
+    got = {tuple(r) for r in leaks.found(docs, table).collect()}
+    long = {(d, i) for d, i in want if len(items[i]) > 5}  # of the shortest, chance words apart from each other make a passage
+    assert got <= want and len(got & long) >= 0.99 * len(long)
+    assert {tuple(r) for r in leaks.leaks(docs, table, max_item_bytes=0).select("doc_id", "item_id").collect()} == got
+
+
+def test_a_long_item_needs_little_memory():
+    import tracemalloc
+
+    q = [f"w{i % 3000}x{i}" for i in range(5000)]
+    index = leaks.Index([(1, q)])
+    tracemalloc.start()
+    got = leaks._search([(7, ["before"] * 20_000 + q[:3000] + ["after"] * 20_000)], index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(7, 1, 0.6, 3000)] and peak < 200e6
 
 
 def test_coverage_against_longest_common_run():
