@@ -154,9 +154,41 @@ def test_repeated_lines_against_counting(spark):
 
 def test_frequent_runs(spark):
     rows = [(d, 0, n, t, 0.0, "x", 1) for d in range(8) for n, t in enumerate(["all rights", f"own {'abcdefgh'[d] * 3}", "share this", "follow us"])]
+    rows += [(d, 1, 0, "share this", 0.0, "x", 1) for d in range(5)]
     books = spark.createDataFrame([(d, "s") for d in range(8)], "doc_id bigint, source string")
     got = repeated.frequent_sequences(spark.createDataFrame(rows, LINES), books)
-    assert sorted((r["length"], r["support"]) for r in got.collect()) == [(1, 8)] * 3 + [(2, 8)] * 2 + [(3, 8)]
+    assert sorted((r["length"], r["support"]) for r in got.collect()) == [(1, 8)] * 3 + [(2, 8)] * 3 + [(3, 8)]
+    long = [(d, 0, n, "line " + "abcdefghijklmnopqrst"[n] * 3, 0.0, "x", 1) for d in range(6) for n in range(20)]  # one pattern, not all parts of it
+    got = repeated.frequent_sequences(spark.createDataFrame(long, LINES), books).collect()
+    assert sorted((r["length"], r["support"]) for r in got) == [(1, 6)] * 20 + [(20, 6)]
+
+
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_frequent_sequences_against_all_subsequences(spark, monkeypatch, broadcast_rows):
+    """Gapped sequences of any length, by listing all of them; both ways to join."""
+    from itertools import combinations
+
+    monkeypatch.setattr(repeated, "BROADCAST_ROWS", broadcast_rows)
+    rnd = random.Random(11)
+    pages = {(d, p): rnd.choices("abcdef", k=rnd.randint(0, 5)) for d in range(14) for p in range(2)}
+    rows = [(d, p, n, c * 3, 0.0, "x", 1) for (d, p), cs in pages.items() for n, c in enumerate(cs)]
+    books = spark.createDataFrame([(d, "s" if d < 9 else None) for d in range(14)], "doc_id bigint, source string")
+    support = {}
+    for (d, _), cs in pages.items():
+        for n in range(1, len(cs) + 1):
+            for x in set(combinations(cs, n)):
+                support.setdefault(("s" if d < 9 else None, x), set()).add(d)
+    want = {k: len(v) for k, v in support.items() if len(v) >= 4}
+    names = {r["h"]: r["c"] for r in spark.createDataFrame([(c,) for c in "abcdef"], "c string").select("c", F.xxhash64(F.repeat("c", F.lit(3))).alias("h")).collect()}
+    rows_got = repeated.frequent_sequences(spark.createDataFrame(rows, LINES), books).collect()
+    got = {(r["source"], tuple(names[h] for h in r["pattern"])): r["support"] for r in rows_got}
+    assert len(got) == len(rows_got) and all(want[k] == n for k, n in got.items())
+
+    def inside(x, y):
+        it = iter(y)
+        return all(c in it for c in x)
+
+    assert all(any(s == s2 and n == n2 and inside(x, y) for (s2, y), n2 in got.items()) for (s, x), n in want.items())
 
 
 # 5 ------------------------------------------------------------------------------------------------------------

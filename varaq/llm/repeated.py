@@ -1,21 +1,25 @@
 """Problem 4: lines that come back in book after book of one source.
 
-Method: PrefixSpan over line-identifier sequences, run level by level on DataFrames. A sequence is a page's
-lines in order; items are line texts without case and non-letters. Support is the number of distinct books
-of the source. The first level keeps the frequent single lines and projects the sequences onto them; each
-further level extends frequent prefixes by the next frequent line of the projected sequence.
+Method: distributed PrefixSpan over line-identifier sequences. A sequence is a page's lines in order; items are line
+texts without case and non-letters; support is the number of distinct books of the source. The first level keeps the
+frequent single lines, and sequences are projected onto them. Each further level extends every frequent prefix by the
+items that stand anywhere after its first match (patterns may have gaps), counts them in the projected database
+(prefix, book, suffix) and projects that again, until nothing is frequent. Lines that never stand without each other,
+one right after the other, grow as one item, so that a long notice is one pattern and not all of its parts. The
+occurrences of the frequent sequences, single lines included, are what is found and removed.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
 
 MIN_BOOKS, MIN_SHARE = 4, 0.2
+BROADCAST_ROWS, SALTS = 200_000, 16  # rows of some numbers each that go to every task; beyond that, salted joins
 
 
 def line_key(text: F.Column) -> F.Column:
@@ -29,72 +33,97 @@ def _sources(books: DataFrame) -> DataFrame:
     return books.where("doc_id is not null").select("doc_id", site.alias("site"), "source").distinct()
 
 
-def frequent_lines(page_lines: DataFrame, books: DataFrame, min_books: int = MIN_BOOKS, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(lines, items): all lines with their source and item, and the frequent items with their support.
+def _met(big: DataFrame, small: DataFrame, on: list[str], by: str = "doc_id") -> DataFrame:
+    """An equality join whose keys may be hot in `big`: a settled `small` is sent to every task if its rows, counted, are few; else keys are salted."""
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), on)
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
+
+
+def _enough(min_books: int, min_share: float) -> F.Column:
+    return (F.col("support") >= min_books) & (F.col("support") >= F.col("books") * min_share - 1e-9)
+
+
+def frequent_lines(page_lines: DataFrame, books: DataFrame, min_books: int = MIN_BOOKS, min_share: float = MIN_SHARE) -> DataFrame:
+    """The first level: site, source, doc_id, page_no, line_no, item, books, support of every line whose item is frequent.
 
     Rows without letters, of books that are not in `books`, or with a null book or text never count. A null
     source is a source of its own. Repeated rows count once, for support and for books.
     """
     owner = _sources(books)
     size = owner.groupBy("site").agg(F.count_distinct("doc_id").alias("books"))
-    lines = (
-        page_lines.select("doc_id", "page_no", "line_no", line_key(F.col("text")).alias("key"))
-        .where("doc_id is not null and key <> ''")
-        .select("doc_id", "page_no", "line_no", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
+    lines = settled(  # numbers only; counted, then read again
+        page_lines.select("doc_id", "page_no", "line_no", line_key(F.col("text")).alias("key")).where("doc_id is not null and key <> ''")
+        .select("doc_id", "page_no", "line_no", F.xxhash64("key").alias("item"), F.hash("key").alias("check"))
     )
-    placed = lines.join(owner, "doc_id")
-    # distinct books first, spread over (source, item, book), so that no hot source meets in one task; then partial counts
-    support = placed.select("site", "h1", "h2", "doc_id").distinct().groupBy("site", "h1", "h2").agg(F.count("*").alias("support"))
-    items = support.where(F.col("support") >= min_books).join(size, "site").where(_enough(min_books, min_share))
-    return placed, items
-
-
-def _enough(min_books: int, min_share: float) -> F.Column:
-    return (F.col("support") >= min_books) & (F.col("support") >= F.col("books") * min_share - 1e-9)
+    # distinct books first, spread over (book, item), so that no hot source meets in one task; then partial counts
+    support = lines.select("doc_id", "item", "check").distinct().join(owner, "doc_id").groupBy("site", "item", "check").agg(F.count("*").alias("support"))
+    items = settled(support.where(F.col("support") >= min_books).join(size, "site").where(_enough(min_books, min_share)))
+    return _met(lines.join(owner, "doc_id"), items, ["site", "item", "check"]).drop("check").distinct()
+
+
+def _sequences(frequent: DataFrame) -> DataFrame:
+    """site, source, books, doc_id, seq: the distinct sequences of each book's pages; an element is a run of lines that never part."""
+    page = ["site", "source", "books", "doc_id", "page_no"]
+    order = Window.partitionBy(*page).orderBy("line_no", "item")
+    rows = settled(frequent.select(*page, "line_no", "item", F.lag("item").over(order).alias("before"), F.lead("item").over(order).alias("after")))
+    only = lambda key, other, name: (  # noqa: E731  the one neighbour that an item has wherever it stands
+        rows.select("site", key, other).distinct().groupBy("site", key).agg(F.count("*").alias("n"), F.max(other).alias(name), F.count(other).alias("known")).where("n = 1 and known = 1")
+    )
+    nexts = only("item", "after", "next").select("site", F.col("item").alias("before"), F.col("next").alias("item"))
+    previous = only("item", "before", "previous").select("site", F.col("previous").alias("before"), "item")
+    bound = settled(nexts.join(previous, ["site", "before", "item"]).withColumn("bound", F.lit(1)))
+    tied = _met(rows.where("before is not null"), bound, ["site", "before", "item"]).select(*page, "line_no", "item", "bound")
+    free = rows.select(*page, "line_no", "item", F.lit(0).alias("bound"))
+    marked = free.unionByName(tied).groupBy(*page, "line_no", "item").agg(F.max("bound").alias("bound"))
+    run = F.sum(1 - F.col("bound")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    in_order = lambda c, what: F.transform(F.array_sort(c), lambda x: x[what])
+    runs = marked.withColumn("run", run).groupBy(*page, "run").agg(in_order(F.collect_list(F.struct("line_no", "item")), "item").alias("items"))
+    pages = runs.groupBy(*page).agg(in_order(F.collect_list(F.struct("run", "items")), "items").alias("seq"))
+    return pages.select("site", "source", "books", "doc_id", "seq").distinct()
+
+
+def frequent_sequences(page_lines: DataFrame, books: DataFrame, min_books: int = MIN_BOOKS, min_share: float = MIN_SHARE, frequent: DataFrame | None = None) -> DataFrame:
+    """source, pattern (array of item hashes), length, support: the frequent sequences of lines of a page, of any length, gaps allowed.
+
+    Every frequent sequence is here, or is part of one with the same support whose lines never part; single lines all
+    are. `frequent`: the first level, if it is known. An empty table gives an empty result.
+    """
+    first = settled(frequent_lines(page_lines, books, min_books, min_share)) if frequent is None else frequent
+    singles = first.select("site", "source", F.array("item").alias("pattern"), "support").distinct()
+    found = [singles]
+    nothing = F.array().cast("array<bigint>")
+    database = settled(_sequences(first).withColumn("prefix", nothing))  # the projection on the empty prefix
+    while True:
+        grown = database.select("*", F.explode(F.array_distinct("seq")).alias("step"))
+        key = ["site", "source", "books", "prefix", "step"]
+        support = grown.select(*key, "doc_id").distinct().groupBy(*key).agg(F.count("*").alias("support")).where(_enough(min_books, min_share))
+        level = settled(support)
+        if level.isEmpty():
+            break
+        found.append(level.select("site", "source", F.concat("prefix", "step").alias("pattern"), "support").where("size(pattern) > 1"))
+        kept = _met(grown.drop("source", "books"), level.drop("source", "books", "support"), ["site", "prefix", "step"])
+        suffix = F.expr("slice(seq, array_position(seq, step) + 1, size(seq))")  # after the first match: what PrefixSpan projects on
+        named = kept.select("site", "doc_id", F.concat("prefix", "step").alias("prefix"), suffix.alias("seq")).where("size(seq) > 0").distinct()
+        facts = level.select("site", "source", "books").distinct()
+        database = settled(named.join(facts, "site"))
+    return reduce(DataFrame.unionByName, found).select("source", "pattern", F.size("pattern").alias("length"), "support", "site").distinct().drop("site")
 
 
 def repeated_lines(page_lines: DataFrame, books: DataFrame, min_books: int = MIN_BOOKS, min_share: float = MIN_SHARE) -> DataFrame:
-    """doc_id, page_no, line_no, source, support of every line that a frequent item stands on (distinct)."""
-    placed, items = frequent_lines(page_lines, books, min_books, min_share)
-    # items per source are at most (lines per book) / min_share, whatever the number of books
-    return placed.join(items, ["site", "h1", "h2"]).select("doc_id", "page_no", "line_no", "source", "support").distinct()
-
+    """doc_id, page_no, line_no, source, support, length (of the longest frequent sequence it is part of) of every line in an occurrence of a frequent sequence.
 
-def frequent_sequences(page_lines: DataFrame, books: DataFrame, min_books: int = MIN_BOOKS, min_share: float = MIN_SHARE, max_length: int = 8) -> DataFrame:
-    """source, pattern (array of item hashes), length, support: the frequent runs of up to max_length lines.
-
-    The projected sequences hold frequent lines only, so a run may pass over lines that are not frequent, but not
-    over another frequent line and not over a page end; that keeps the number of patterns linear in the sequences.
-    A run of n lines has every shorter run in it, so the frequent single lines cover all of its lines.
+    A sequence is frequent only if its lines are, so its occurrences are occurrences of its lines wherever these stand.
     """
-    placed, items = frequent_lines(page_lines, books, min_books, min_share)
-    kept = placed.join(items, ["site", "h1", "h2"]).select("site", "source", "doc_id", "page_no", "line_no", F.col("h1").alias("item"), "books")
-    pages = (
-        kept.groupBy("site", "source", "doc_id", "page_no", "books")
-        .agg(F.array_sort(F.collect_set(F.struct("line_no", "item"))).alias("seq"))
-        .select("site", "source", "doc_id", "books", F.transform("seq", lambda s: s["item"]).alias("seq"))
-    )
-    start = settled(pages)  # every level reads it
-    levels: list[DataFrame] = []
-    for n in range(1, max_length + 1):
-        runs = F.explode(F.expr(f"transform(sequence(1, size(seq) - {n - 1}), i -> slice(seq, i, {n}))"))
-        grown = start.where(F.size("seq") >= n).select("site", "source", "doc_id", "books", runs.alias("pattern"))
-        if levels:  # only extensions of frequent prefixes
-            grown = grown.withColumn("head", F.slice("pattern", 1, n - 1)).join(levels[-1].select("site", F.col("pattern").alias("head")), ["site", "head"], "left_semi")
-        level = settled(
-            grown.select("site", "source", "pattern", "books", "doc_id").distinct()
-            .groupBy("site", "source", "pattern", "books").agg(F.count("*").alias("support"))
-            .where(_enough(min_books, min_share))
-            .select("site", "source", "pattern", F.lit(n).alias("length"), "support")
-        )
-        levels.append(level)
-        if level.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, levels).drop("site")
+    first = settled(frequent_lines(page_lines, books, min_books, min_share))
+    patterns = frequent_sequences(page_lines, books, min_books, min_share, first)
+    lines = settled(patterns.select("source", F.explode("pattern").alias("item"), "length").groupBy("source", "item").agg(F.max("length").alias("length")).withColumn("site", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source"))
+    return _met(first, lines, ["site", "item"]).select("doc_id", "page_no", "line_no", "source", "support", "length").distinct()
 
 
 def without_repeats(page_lines: DataFrame, books: DataFrame, min_books: int = MIN_BOOKS, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_lines, all its columns, without the repeated lines."""
+    """page_lines, all its columns, without the occurrences of frequent sequences."""
     gone = repeated_lines(page_lines, books, min_books, min_share).select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "page_no", "line_no"))).distinct()
     same = [page_lines[c].eqNullSafe(gone[f"__{c}"]) for c in ("doc_id", "page_no", "line_no")]
     return page_lines.join(gone, reduce(lambda a, b: a & b, same), "left_anti")
