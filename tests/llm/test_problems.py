@@ -374,8 +374,18 @@ def test_exponent():
     assert a == 0 and w == {"a": 0.5, "b": 0.5} and total == 200
     w, a, _ = mixture.weights({"a": 100, "b": 900}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 1}, total=400)
     assert 0 < a < 1 and w["a"] * 400 <= 100.001 and abs(w["a"] * 400 - 100) < 0.01
-    w, a, _ = mixture.weights({"a": 100, "b": 900}, {"a": 0.5, "b": 0.5}, {"a": 9, "b": 9}, entropy=0.8)
-    assert 0 < a < 1
+    w, a, total = mixture.weights({"a": 100, "b": 900}, {"a": 0.5, "b": 0.5}, {"a": 9, "b": 9}, entropy=0.8)
+    assert 0 < a < 1 and abs(w["a"] / w["b"] - (1 / 9) ** a) < 1e-9 and total == pytest.approx(min(900 / w["a"], 8100 / w["b"]))
+    assert mixture.weights({"a": 100, "b": 900}, {"a": 0.5, "b": 0.5}, {"a": 9, "b": 9}, entropy=2.0)[1] == 0.0
+    assert mixture.weights({}, {"a": 1.0}, {"a": 1}) == ({}, 0.0, 0.0)
+
+
+def test_blocks_follow_the_rows(spark, monkeypatch):
+    docs = posts(spark, [("a", 3)] * 500)
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    whole = {tuple(r) for r in mixture.mixture(docs, targets, total=900)[0].collect()}
+    monkeypatch.setattr(mixture, "BLOCK_POSTS", 2)
+    assert sum(r[2] for r in whole) <= 900 and sum(r["tokens"] for r in mixture.mixture(docs, targets, total=900)[0].collect()) > 890
 
 
 # 9 ------------------------------------------------------------------------------------------------------------

@@ -79,6 +79,20 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_limited(spark: SparkSession, d: str) -> DataFrame:
+    """Four fifths of the tokens that there are: the exponent is bisected until every source stays within its cap."""
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), of_available=0.8)[1]
+
+
+def p8_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """Token shares exponentiated until they have the entropy of the target shares."""
+    return mixture.tempered(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.checks(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(table(spark, d, "documents"))
 
@@ -107,6 +121,10 @@ ORACLES = {
     "p6_found": """
         SELECT doc_id, chapter_no FROM (SELECT DISTINCT doc_id, chapter_no, block_no, text FROM blocks WHERE text IS NOT NULL)
         GROUP BY doc_id, chapter_no HAVING sum(length(text)) + count(*) - 1 > 2000""",
+    "p8_checks": """
+        WITH posts AS (SELECT source, count(*) AS posts FROM (SELECT DISTINCT doc_id, source, text FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND text <> '') GROUP BY source)
+        SELECT mix, source, coalesce(posts, 0) AS posts, true AS within_cap, true AS drawn_once, true AS within_budget, true AS budget_met, true AS exponent_found
+        FROM (SELECT DISTINCT source FROM mix_targets WHERE source IS NOT NULL) LEFT JOIN posts USING (source) CROSS JOIN (SELECT unnest(['targets', 'limited', 'tempered']) AS mix)""",
 }
 
 
