@@ -153,13 +153,15 @@ def tempered(documents: DataFrame, targets: DataFrame, entropy: float | None = N
 def checks(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """mix, source, posts and what must hold of each mix (targets, limited, tempered): no post beyond its cap, the budget met to less
     than one post, each post drawn once, the exponent found where it belongs."""
-    made = {"targets": mixture(documents, targets), "limited": mixture(documents, targets, of_available=0.8), "tempered": tempered(documents, targets)}
+    made = {"targets": mixture(documents, targets), "limited": mixture(documents, targets, of_available=0.9), "tempered": tempered(documents, targets)}
     posts = documents.where("doc_id is not null and source is not null and text <> ''").select("doc_id", "source", F.xxhash64("text").alias("h")).distinct().groupBy("source").agg(F.count("*").alias("posts"))
     out = []
     for name, (draw, report) in made.items():
         drawn = draw.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("sum"), F.max("repeats").alias("most"), F.count("*").alias("rows"))
         both = report.join(drawn, "source", "left").join(posts, "source", "left").na.fill(0, ["sum", "most", "rows", "posts"])
-        inside = F.col("exponent") == 0 if name == "targets" else (F.col("exponent") > 0) & (F.col("exponent") < 1)
+        # the least exponent: none is needed, or some source just meets its cap
+        full = F.max(F.when(F.col("available_tokens") > 0, (F.col("budget") + 1) / (F.col("max_repeats") * F.col("available_tokens")))).over(Window.partitionBy(F.lit(1)))
+        inside = {"targets": F.col("exponent") == 0, "limited": (F.col("exponent") == 0) | (full >= 1)}.get(name, (F.col("exponent") > 0) & (F.col("exponent") < 1))
         out.append(both.select(
             F.lit(name).alias("mix"), "source", "posts", (F.col("most") <= F.col("max_repeats")).alias("within_cap"), (F.col("rows") <= F.col("posts")).alias("drawn_once"),
             ((F.col("sum") == F.col("drawn_tokens")) & (F.col("sum") <= F.col("budget"))).alias("within_budget"), (F.col("budget") - F.col("sum") <= F.col("largest_post")).alias("budget_met"), inside.alias("exponent_found"),
