@@ -248,10 +248,28 @@ def test_pieces_go_back_to_the_text(spark):
         split.split_chapters(table, 100, 100)
 
 
-def test_chapters_of_many_blocks(spark):
-    rows = [(n, 1, n, "p", f"block {n} of many") for n in range(1500)]
-    got = split.split_chapters(blocks(spark, rows)).orderBy("piece_no").collect()
-    assert "".join(r["body"] for r in got) == "\n".join(r[4] for r in rows)
+@pytest.mark.parametrize("section", [1, 3, 512])
+def test_sections_leave_no_trace(spark, monkeypatch, section):
+    """Chapters around and far over the size of a section are cut as by one expression over all of their text."""
+    monkeypatch.setattr(split, "SECTION", section)
+    rnd = random.Random(8)
+    parts = ["Short.", "A sentence is here. " * 12, "x" * 700, "字。" * 90, "", "word " * 500]
+    sizes = {1: 511, 2: 512, 3: 513, 4: 1400, 5: 3} if section == 512 else {1: 14, 2: 5}
+    texts = {d: [rnd.choice(parts) for _ in range(n)] for d, n in sizes.items()}
+    rows = [(10_000 * d + n, d, n, "p", t) for d, v in texts.items() for n, t in enumerate(v)]
+    got = {}
+    for r in split.split_chapters(blocks(spark, rows)).orderBy("doc_id", "piece_no").collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    one = spark.createDataFrame([(d, "\n".join(v)) for d, v in texts.items()], "d int, t string")
+    want = {r["d"]: r["p"] for r in one.select("d", F.regexp_extract_all("t", F.lit(split.piece_pattern(1800)), F.lit(0)).alias("p")).collect()}
+    for d, v in texts.items():
+        if len("\n".join(v)) <= 2000:
+            assert d not in got
+            continue
+        assert [r["body"] for r in got[d]] == want[d] and [r["piece_no"] for r in got[d]] == list(range(len(want[d])))
+        whole = "\n".join(v)
+        for r in got[d]:
+            assert whole[r["start_pos"] :].startswith(r["body"]) and whole[: r["start_pos"]].endswith(r["overlap"]) and len(r["overlap"]) <= 200
 
 
 # 7 ------------------------------------------------------------------------------------------------------------
