@@ -436,7 +436,22 @@ def test_held_out_languages(spark):
     assert language.segments(docs.limit(0), m).count() == 0
 
 
+def test_code_is_learned(spark):
+    """Lines like those that posts mark as code are code where nothing marks them; prose with a brace or an equals sign is prose."""
+    rnd = random.Random(3)
+    code = lambda: rnd.choice(["for (int i = 0; i < %d; i++) { total[i] = count(i); }", "const total = await count(%d).value;", "SELECT total, count(*) FROM items WHERE total >= %d", "def total(count): return [x for x in count if x > %d]"]) % rnd.randint(1, 999)
+    rows = [(i, f"{sentences_of(k, 1, i)[0]}\n\n```\n{code()}\n{code()}\n```\n\n{sentences_of(k, 1, i + 9)[0]}", k, "s", 0.0, 1) for j, k in enumerate(SEEDS) for i in range(j * 100, j * 100 + 40)]
+    m = language.fit(spark.createDataFrame(rows, DOCS))
+    assert sum(m.classify(code())[0] == language.CODE for _ in range(40)) >= 38
+    for text in ("we had seen the old tower { at } the river before the winter", "nobody = nobody, they were still talking about it near the river", "SELECT the old tower near the river and nobody had seen it before the winter"):
+        assert m.classify(text)[0] == "en"
+    long = ("x" * 5000 + "\n") * 3 + sentences_of("fr", 1, 3)[0]
+    assert language.segments(spark.createDataFrame([(1, long, "en", "s", 0.0, 1)], DOCS), m).where("lang = 'fr'").count() == 1
+
+
 def test_labels(spark):
+    more = spark.createDataFrame([(g,) for g in ("swe", "pol", "iw", "cym", "wel", "en_US.UTF-8", "qq", "qqq", "srp", "ces", "NLD")], "l string")
+    assert [r["x"] for r in more.select(language.label_language(F.col("l")).alias("x")).collect()] == ["sv", "pl", "he", "cy", "cy", "en", "qq", None, "sr", "cs", "nl"]
     given = ["en", "EN", "en-US", "en_us", "eng", "FRE", "ger", "zh_CN", "und", "xx", "unknown", "", None, "fas", "english", "zho-Hans"]
     rows = spark.createDataFrame([(g,) for g in given], "l string")
     got = [r["x"] for r in rows.select(language.label_language(F.col("l")).alias("x")).collect()]
