@@ -60,6 +60,37 @@ def test_sentences_odd_input(spark, fitted):
         assert "".join(t[a:b] for a, b in cut).replace(" ", "") == t.replace(" ", "")
 
 
+@pytest.mark.parametrize("words", [5, 60, 400])
+def test_quotations_of_any_length(fitted, words):
+    text = f"“{'The tower fell there. ' * words}Go home,” said Bob. He left."
+    assert [text[a:b] for a, b in sentences.split(text, fitted)] == [text[:-9], "He left."]
+
+
+def test_words_of_any_length(fitted):
+    text = f"{'x' * 5000}.txt fell. It did so at {'y' * 300}.txt, {'z' * 900}. The end."
+    assert len(sentences.split(text, fitted)) == 3
+
+
+def test_totals_count_everything(spark):
+    """The ratios rest on all words and points, rare ones too, and agree with the formula."""
+    import math
+
+    rows = [("en", "p", "dr", "upper", 9), ("en", "p", "house", "end", 30), ("en", "p", "house", "upper", 20), ("en", "w", "house", "", 200)] + [("en", "w", f"w{i}", "", 1) for i in range(800)]
+    model = sentences.collected(sentences.statistics(spark.createDataFrame(rows, "lang string, kind string, key string, sub string, n bigint")))
+    rate = 59 / (59 + 1000)
+    assert 2 * 9 * math.log(0.99 / rate) > sentences.CHI2 and ("en", "dr") in model["short"] and ("en", "dr") in model["pure"] and ("en", "house") not in model["short"]
+
+
+def test_salted_statistics_give_the_same(spark, monkeypatch):
+    lines = ["According to Dr. Smith the market was open. It was late, see p. 12, etc.", "They bought nails ... and ropes, etc. The ship left. A. B. Smith saw it!"] * 40
+    table = blocks(spark, [(i, i, 0, "p", t) for i, t in enumerate(lines)])
+    want = set(map(tuple, sentences.found(table).collect()))
+    monkeypatch.setattr(repeated, "BROADCAST_ROWS", 0)
+    assert set(map(tuple, sentences.found(table).collect())) == want
+    model = sentences.fit(table)
+    assert want == {(i, 0, a, b) for i, t in enumerate(lines) for a, b in sentences.split(t, model)}
+
+
 # 2 ------------------------------------------------------------------------------------------------------------
 
 SPAN = "doc_id bigint, page_no int, line_no int, span_no int, text string, font string, n int, word string, chain string"
@@ -472,5 +503,5 @@ def test_unlabelled_corpus(spark):
 ])
 def test_sentences_in_disguise(text, expected):
     """With the statistics that a Persian corpus gives, and with characters that only look like others."""
-    stats = {"pure": {("fa", "ک"), ("fa", "ص")}, "short": set(), "on": set(), "words": {"fa", "en"}}
+    stats = {"pure": {("fa", "ک"), ("fa", "ص")}, "short": set(), "on": set(), "number": {("fa", ""), ("en", "")}}
     assert [text[a:b] for a, b in sentences.split(text, stats)] == expected

@@ -33,7 +33,7 @@ def _sources(books: DataFrame) -> DataFrame:
     return books.where("doc_id is not null").select("doc_id", site.alias("site"), "source").distinct()
 
 
-def _met(big: DataFrame, small: DataFrame, on: list[str], by: str = "doc_id") -> DataFrame:
+def met(big: DataFrame, small: DataFrame, on: list[str], by: str = "doc_id") -> DataFrame:
     """An equality join whose keys may be hot in `big`: a settled `small` is sent to every task if its rows, counted, are few; else keys are salted."""
     if small.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on)
@@ -60,7 +60,7 @@ def frequent_lines(page_lines: DataFrame, books: DataFrame, min_books: int = MIN
     # distinct books first, spread over (book, item), so that no hot source meets in one task; then partial counts
     support = lines.select("doc_id", "item", "check").distinct().join(owner, "doc_id").groupBy("site", "item", "check").agg(F.count("*").alias("support"))
     items = settled(support.where(F.col("support") >= min_books).join(size, "site").where(_enough(min_books, min_share)))
-    return _met(lines.join(owner, "doc_id"), items, ["site", "item", "check"]).drop("check").distinct()
+    return met(lines.join(owner, "doc_id"), items, ["site", "item", "check"]).drop("check").distinct()
 
 
 def _sequences(frequent: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def _sequences(frequent: DataFrame) -> DataFrame:
     nexts = only("item", "after", "next").select("site", F.col("item").alias("before"), F.col("next").alias("item"))
     previous = only("item", "before", "previous").select("site", F.col("previous").alias("before"), "item")
     bound = settled(nexts.join(previous, ["site", "before", "item"]).withColumn("bound", F.lit(1)))
-    tied = _met(rows.where("before is not null"), bound, ["site", "before", "item"]).select(*page, "line_no", "item", "bound")
+    tied = met(rows.where("before is not null"), bound, ["site", "before", "item"]).select(*page, "line_no", "item", "bound")
     free = rows.select(*page, "line_no", "item", F.lit(0).alias("bound"))
     marked = free.unionByName(tied).groupBy(*page, "line_no", "item").agg(F.max("bound").alias("bound"))
     run = F.sum(1 - F.col("bound")).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -103,7 +103,7 @@ def frequent_sequences(page_lines: DataFrame, books: DataFrame, min_books: int =
         if level.isEmpty():
             break
         found.append(level.select("site", "source", F.concat("prefix", "step").alias("pattern"), "support").where("size(pattern) > 1"))
-        kept = _met(grown.drop("source", "books"), level.drop("source", "books", "support"), ["site", "prefix", "step"])
+        kept = met(grown.drop("source", "books"), level.drop("source", "books", "support"), ["site", "prefix", "step"])
         suffix = F.expr("slice(seq, array_position(seq, step) + 1, size(seq))")  # after the first match: what PrefixSpan projects on
         named = kept.select("site", "doc_id", F.concat("prefix", "step").alias("prefix"), suffix.alias("seq")).where("size(seq) > 0").distinct()
         facts = level.select("site", "source", "books").distinct()
@@ -119,7 +119,7 @@ def repeated_lines(page_lines: DataFrame, books: DataFrame, min_books: int = MIN
     first = settled(frequent_lines(page_lines, books, min_books, min_share))
     patterns = frequent_sequences(page_lines, books, min_books, min_share, first)
     lines = settled(patterns.select("source", F.explode("pattern").alias("item"), "length").groupBy("source", "item").agg(F.max("length").alias("length")).withColumn("site", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source"))
-    return _met(first, lines, ["site", "item"]).select("doc_id", "page_no", "line_no", "source", "support", "length").distinct()
+    return met(first, lines, ["site", "item"]).select("doc_id", "page_no", "line_no", "source", "support", "length").distinct()
 
 
 def without_repeats(page_lines: DataFrame, books: DataFrame, min_books: int = MIN_BOOKS, min_share: float = MIN_SHARE) -> DataFrame:
