@@ -150,12 +150,37 @@ def test_prose_and_its_opposites(spark):
 
 def test_divergence_is_zero_for_a_profile_itself(spark):
     cols = ["lang", *quality.CLASSES]
-    p = quality.PROFILES["table"][1]
+    p = quality.PROFILES["table"][0]
     row = spark.createDataFrame([("en", *map(float, p))], ", ".join(f"`{c}` {'string' if c == 'lang' else 'double'}" for c in cols))
     got = quality.classify_blocks(row).first()
     assert got["structure"] == "table" and abs(got["divergence"]) < 1e-9
 
 
+def test_counts_of_a_text():
+    import numpy as np
+
+    texts = ["The cat, and the dog: 12.5% of 3 dogs. dog dog", "", "a | Wex | 9 ... 7", "他说了。", "x=1; y", "Chapter ..... 12 ,"]
+    got = [dict(zip(quality._RAW, r)) for r in quality._counts(texts, quality.Tokens()).tolist()]
+    assert got[0]["f_en"] == 4 and got[0]["number"] == 2 and got[0]["ends"] == 1 and got[0]["comma"] == 1 and got[0]["again"] == 1 and got[0]["capital"] == 0
+    assert not any(got[1].values()) and got[2]["capital"] == 1 and got[2]["symbol"] == 2 and got[2]["leader"] == 1 and got[2]["number"] == 2
+    assert got[3]["cjk"] == 3 and got[3]["f_zh"] == 2 and got[4]["mixed"] == 0 and got[5]["leader"] == 1
+    one = quality._counts(texts, known := quality.Tokens())
+    assert np.array_equal(one, np.concatenate([quality._counts([t], known) for t in texts]))
+
+
+def test_profiles_are_learned(spark):
+    """A corpus whose lists look unlike the starting ones: their centre moves to them."""
+    rnd = random.Random(1)
+    words = "mill tower bridge stove gate market wood".split()
+    rows = [(i, i, i, "p", " ; ".join(rnd.choices(words, k=9)) if i % 2 else PROSE) for i in range(80)]
+    features = quality.block_features(blocks(spark, rows))
+    learned = quality.learned_profiles(features)
+    assert any(lang == "en" and name == "prose" for _, name, lang, _ in learned) and learned != quality.START
+    far = lambda p: quality.classify_blocks(features, p).groupBy("structure").agg(F.avg("divergence").alias("d"), F.count("*").alias("n")).collect()
+    before, after = ({r["structure"]: r for r in far(p)} for p in (None, learned))
+    assert after["list"]["n"] == after["prose"]["n"] == 40 and after["list"]["d"] < before["list"]["d"] / 2 and after["prose"]["d"] < before["prose"]["d"]
+
+
 # 4 ------------------------------------------------------------------------------------------------------------
 
 LINES = "doc_id bigint, page_no int, line_no int, text string, x0 double, site string, books int"

@@ -1,15 +1,21 @@
 """Problem 3: text statistics that tell running prose from lists, tables and junk.
 
-Method: the distribution of a block's token and character classes and its share of function words are compared
-by Jensen-Shannon divergence with structural profiles (list, contents, table, junk) and with the prose
-profile of the block's language; the nearest profile names the block. Prose profiles are summed over all
-blocks of the corpus that read as prose under the starting profile, per language, in one aggregation.
+Method: the distribution of a block's token and character classes, function words among them, is compared by
+Jensen-Shannon divergence with structural profiles (prose, list, contents, table, junk); the nearest names the block.
+The profiles are learned: a few round shares of each structure start as centres, every block of the corpus joins the
+nearest, and each centre becomes the mean of its blocks, prose for each language by itself; after LEARNING such rounds
+the centres are the profiles. Each round is one aggregation over numbers; at most centres times languages rows of it
+reach the driver.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,96 +36,119 @@ FUNCTION_SYLLABLES = {"zh": "的了在是和不到这那个说有也就而所",
 LANGUAGES = [*FUNCTION_WORDS, *FUNCTION_SYLLABLES]
 
 CLASSES = ("function", "word", "capital", "number", "mixed", "comma", "end", "symbol", "leader", "repeat")
-#: Shares of CLASSES in typical blocks of each structure; prose is only the start for the learned profiles.
+#: Shares of CLASSES that learning starts from, by structure: with function words, without them, and in scripts without spaces; by commas or bullets; and so on.
 PROFILES = {
-    "prose": [(0.22, 0.56, 0.07, 0.01, 0.005, 0.045, 0.08, 0.01, 0.0, 0.0), (0.10, 0.66, 0.04, 0.02, 0.0, 0.06, 0.11, 0.01, 0.0, 0.0), (0.24, 0.61, 0.01, 0.01, 0.0, 0.12, 0.01, 0.0, 0.0, 0.0), (0.03, 0.80, 0.01, 0.01, 0.0, 0.13, 0.02, 0.0, 0.0, 0.0)],
-    "list": [
-        (0.22, 0.45, 0.02, 0.0, 0.01, 0.30, 0.0, 0.0, 0.0, 0.0),
-        (0.26, 0.51, 0.0, 0.0, 0.0, 0.23, 0.0, 0.0, 0.0, 0.0),
-        (0.0, 0.66, 0.02, 0.0, 0.01, 0.31, 0.0, 0.0, 0.0, 0.0),
-        (0.18, 0.44, 0.19, 0.0, 0.0, 0.0, 0.0, 0.19, 0.0, 0.0),
-        (0.0, 0.56, 0.19, 0.0, 0.0, 0.0, 0.0, 0.25, 0.0, 0.0),
-        (0.0, 0.75, 0.0, 0.0, 0.0, 0.0, 0.0, 0.25, 0.0, 0.0),
-        (0.0, 0.40, 0.15, 0.14, 0.0, 0.0, 0.0, 0.30, 0.0, 0.0),
-    ],
-    "contents": [
-        (0.0, 0.40, 0.18, 0.20, 0.0, 0.0, 0.0, 0.0, 0.20, 0.0),
-        (0.0, 0.28, 0.14, 0.28, 0.0, 0.28, 0.0, 0.0, 0.0, 0.0),
-        (0.0, 0.42, 0.0, 0.28, 0.0, 0.28, 0.0, 0.0, 0.0, 0.0),
-    ],
-    "table": [
-        (0.0, 0.12, 0.12, 0.46, 0.0, 0.0, 0.0, 0.30, 0.0, 0.0),
-        (0.0, 0.10, 0.10, 0.35, 0.0, 0.0, 0.0, 0.45, 0.0, 0.0),
-        (0.0, 0.10, 0.10, 0.45, 0.0, 0.35, 0.0, 0.0, 0.0, 0.0),
-    ],
-    "junk": [
-        (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0),
-        (0.0, 0.1, 0.1, 0.02, 0.73, 0.0, 0.0, 0.05, 0.0, 0.0),
-        (0.0, 0.35, 0.02, 0.02, 0.40, 0.05, 0.02, 0.14, 0.0, 0.0),
-        (0.0, 0.25, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.75),
-    ],
+    "prose": [(0.22, 0.56, 0.07, 0.01, 0.0, 0.05, 0.08, 0.01, 0.0, 0.0), (0.10, 0.66, 0.04, 0.02, 0.0, 0.06, 0.11, 0.01, 0.0, 0.0), (0.24, 0.61, 0.01, 0.01, 0.0, 0.12, 0.01, 0.0, 0.0, 0.0), (0.03, 0.80, 0.01, 0.01, 0.0, 0.13, 0.02, 0.0, 0.0, 0.0)],
+    "list": [(0.24, 0.48, 0.01, 0.0, 0.0, 0.27, 0.0, 0.0, 0.0, 0.0), (0.0, 0.66, 0.02, 0.0, 0.0, 0.32, 0.0, 0.0, 0.0, 0.0), (0.0, 0.60, 0.10, 0.05, 0.0, 0.0, 0.0, 0.25, 0.0, 0.0)],
+    "contents": [(0.0, 0.40, 0.20, 0.20, 0.0, 0.0, 0.0, 0.0, 0.20, 0.0), (0.0, 0.35, 0.07, 0.30, 0.0, 0.28, 0.0, 0.0, 0.0, 0.0)],
+    "table": [(0.0, 0.10, 0.10, 0.45, 0.0, 0.0, 0.0, 0.35, 0.0, 0.0)],
+    "junk": [(0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0), (0.0, 0.20, 0.05, 0.05, 0.60, 0.05, 0.0, 0.05, 0.0, 0.0), (0.0, 0.25, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.75)],
 }
+LEARNING, LEAST = 2, 20  # rounds, and the fewest blocks that a centre is made of
 
 #: Letters, what may stand inside a word unseen, and what a wrong decoding leaves inside words
-_LETTER = r"[\p{L}\p{M}\x{80}-\x{9f}\x{a1}-\x{aa}\x{ac}-\x{ba}\x{bc}-\x{be}\x{fffd}\x{20ac}\x{2122}\x{2c6}\x{2dc}\x{2030}\x{2039}\x{203a}\x{2044}\x{2200}-\x{22ff}\x{2500}-\x{259f}\x{200b}-\x{200d}\x{2060}\x{feff}&&[^\x{b1}\x{b7}]]"
+_LETTER = r"[\p{L}\p{M}\x80-\x9f\xa1-\xaa\xac-\xb0\xb2-\xb6\xb8-\xba\xbc-\xbe\ufffd\u20ac\u2122\u02c6\u02dc\u2030\u2039\u203a\u2044\u2200-\u22ff\u2500-\u259f\u200b-\u200d\u2060\ufeff]"
 _NOTE_MARK = r"^\s*(?:[*†‡]|\(\p{Nd}+\))\s*"
-_CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
-
-
-_RAW = [*(f"f_{k}" for k in LANGUAGES), "letters", "cjk", "kana", "thai", "tokens", "capital", "number", "mixed", "comma", "ends", "symbol", "leader", "again"]
-
-
-def _count(pattern: str, text: str = "t") -> F.Column:
-    return F.regexp_count(F.col(text), F.lit(pattern))
-
-
-def _words(words: str) -> str:
-    return r"(?<![\p{L}\p{M}])(?:" + "|".join(words.split()) + r")(?![\p{L}\p{M}])"
+_ASIAN = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
+_END = r"[.!?؟。！？…]+(?=[\"'”’»」』）)\]]|$|[^\p{Nd}])"
+#: What is counted of one token (what stands between white space); all other counts follow from neighbouring tokens.
+_COUNTED = {
+    "letters": r"[\p{L}\p{M}]", "tokens": _LETTER + "+", "comma": "[,،、，;؛；]", "ends": _END, "leader": r"[·.]{3,}(?=\p{Nd})",
+    "number": r"(?<![\p{L}\p{N}])±?\p{Nd}+(?:[.,٫]\p{Nd}+)*+%?(?![\p{L}\p{N}])",
+    "symbol": r"[$+<=>^`|~*/\\{}\[\]_#@&•‣◦→%](?![\x80-\x9f\xc0-\xff])|^-$",
+    "mixed": r"^(?=.*\p{L})(?=.*[\p{N}+/|~;:{}\[\]<>=])[\p{L}\p{N}+/|~;:{}\[\]<>=']{2,}(?<![:;])$",
+}
+_WIDE = {"cjk": r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", "kana": r"[\p{Hiragana}\p{Katakana}]", "thai": r"\p{Thai}", **{f"f_{k}": v if k == "th" else f"[{v}]" for k, v in FUNCTION_SYLLABLES.items()}}
+_RAW = [*(f"f_{k}" for k in FUNCTION_WORDS), *_COUNTED, *_WIDE, "capital", "again"]
+_FEATURES = "letters double, lang string, words double, mean_word_length double, symbol_ratio double, common_ratio double, " + ", ".join(f"{c} double" for c in CLASSES)
+
+
+class Tokens(dict):
+    """The counts of every token seen, as rows of a matrix; a token's place in it is looked up, and made where it is new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.counted, self.wide = {k: regex.compile(v) for k, v in _COUNTED.items()}, {k: regex.compile(v) for k, v in _WIDE.items()}
+        self.function = {w: i for i, (k, v) in enumerate(FUNCTION_WORDS.items()) for w in v.split()}
+        self.several: dict[str, list[int]] = {}
+        for i, v in enumerate(FUNCTION_WORDS.values()):
+            for w in v.split():
+                self.several.setdefault(w, []).append(i)
+        self.run, self.known = regex.compile(r"[\p{L}\p{M}]+"), {"": 0}
+        self.rows: list[list[int]] = []
+        self.more: list[tuple] = []
+
+    def __missing__(self, token: str) -> int:
+        row = [0] * len(_RAW)
+        low, n = token.lower(), len(FUNCTION_WORDS)
+        runs = self.run.findall(low)
+        for w in runs:
+            for i in self.several.get(w, ()):
+                row[i] += 1
+        for i, r in enumerate(self.counted.values(), n):
+            row[i] = len(r.findall(token))
+        if _ASIAN.search(token):
+            for i, r in enumerate(self.wide.values(), n + len(_COUNTED)):
+                row[i] = len(r.findall(token))
+        # of neighbours: the word at either end, whether it starts with a capital or a digit, ends in a leader, and how it ends
+        name = lambda w: self.known.setdefault(w, len(self.known)) if len(w) > 1 else 0
+        first, last = (runs[0] if runs and low.startswith(runs[0]) else ""), (runs[-1] if runs and low.endswith(runs[-1]) else "")
+        capital = len(token) > 1 and token[0].isupper() and token[1].islower()
+        end = token[-1]
+        self.more.append((name(first), name(last), capital, token[0].isdigit(), end in "·." and len(token) > 2 and token[-3:] in ("...", "···"), end.isalnum() or end in ".!?…«“\""))
+        self.rows.append(row)
+        self[token] = len(self.rows) - 1
+        return len(self.rows) - 1
+
+
+def _counts(texts: list[str], known: Tokens) -> np.ndarray:
+    """One row of _RAW a text."""
+    tokens = [t.split() for t in texts]
+    lengths = np.array([len(t) for t in tokens], int)
+    ids = np.fromiter(map(known.__getitem__, (w for t in tokens for w in t)), np.int64, int(lengths.sum()))
+    out = np.zeros((len(texts), len(_RAW)))
+    if not len(ids):
+        return out
+    facts = np.array(known.more, np.int64)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    values = np.array(known.rows, np.float64)[ids]
+    before = np.r_[False, owner[1:] == owner[:-1]]  # has a token before it in its text
+    first, last, capital, digit, leader, closed = facts[ids].T
+    values[:, _RAW.index("capital")] = before & (capital > 0) & ~np.r_[True, closed[:-1] > 0]
+    values[:, _RAW.index("again")] = before & (first > 0) & np.r_[False, last[:-1] == first[1:]]
+    values[:, _RAW.index("leader")] += before & (digit > 0) & np.r_[False, leader[:-1] > 0]
+    some = np.flatnonzero(lengths)
+    out[some] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[some], axis=0)
+    return out
 
 
 def block_features(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id", "block_id")) -> DataFrame:
-    """keys, chars, words, mean_word_length, symbol_ratio, end_mark (ends like a sentence), common_ratio, lang and the class counts.
+    """keys, h (a hash of the text), chars, words, mean_word_length, symbol_ratio, end_mark (ends like a sentence), common_ratio, lang and the class counts.
 
-    One row per input row with a text; null texts are left out, an empty text has zero counts and the lang null.
+    One row per input row with a text; null texts are left out, an empty text has zero counts and the lang null. Each
+    distinct token is looked at once a task; texts are then sums of rows of a matrix.
     """
-    bare = F.regexp_replace("text", _NOTE_MARK, "")
-    t = blocks.where("text is not null").select(*keys, F.lower(bare).alias("low"), bare.alias("t"), F.length("text").alias("chars"))
-    # a language's words are looked for only in texts of its script, and rare signs only where they can be
-    has = lambda chars, count: F.when(F.col("t").rlike(f"[{chars}]"), count).otherwise(F.lit(0))
-    hits = {k: has({"ru": "а-я", "fa": "ا-ی", "ar": "ا-ی"}.get(k, "A-Za-z"), _count(_words(w), "low")) for k, w in FUNCTION_WORDS.items()}
-    asian = "\\x{e00}-\\x{e7f}\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}"
-    hits |= {"zh": has(asian, _count(f"[{FUNCTION_SYLLABLES['zh']}]")), "ja": has(asian, _count(f"[{FUNCTION_SYLLABLES['ja']}]")), "th": has(asian, _count(FUNCTION_SYLLABLES["th"]))}
-    cjk, kana = has(asian, _count(_CJK)), has(asian, _count(r"[\p{IsHiragana}\p{IsKatakana}]"))
-    cols = {f"f_{k}": v for k, v in hits.items()} | {
-        "letters": _count(r"[\p{L}\p{M}]"),
-        "cjk": cjk,
-        "kana": kana,
-        "thai": has(asian, _count(r"\p{IsThai}")),
-        "tokens": _count(rf"{_LETTER}+"),
-        "capital": has("A-ZА-ЯЁ", _count(rf"(?<![\p{{L}}\p{{N}}.!?…«“\"] )(?<!^)(?<![\p{{L}}\p{{M}}\p{{N}}])[A-ZА-ЯЁ]\p{{Ll}}+")),
-        "number": has("\\p{Nd}", _count(r"(?<![\p{L}\p{N}])[±]?\p{Nd}+(?:[.,٫]\p{Nd}+){0,9}%?(?![\p{L}\p{N}])")),
-        "mixed": has("\\p{N}+/|~;:{}\\[\\]<>=", _count(r"(?<![^\s])(?=[^\s]*[\p{L}])(?=[^\s]*[\p{N}+/|~;:{}\[\]<>=])[\p{L}\p{N}+/|~;:{}\[\]<>=']{2,}(?<![:;])(?![^\s])")),
-        "comma": _count(r"[,،、，;؛；]"),
-        "ends": _count(r"[.!?؟。！？…]+(?=[\s\"'”’»」』）)\]]|$|[^\s\p{Nd}])"),
-        "symbol": _count(r"[$+<=>^`|~*/\\{}\[\]_#@&•‣◦→%](?![\x{80}-\x{9f}\x{c0}-\x{ff}])|(?<=\s)-(?=\s)"),
-        "leader": F.when(F.col("t").rlike("[·.]{3}"), _count(r"[·.]{3,}(?=\s*\p{Nd})")).otherwise(F.lit(0)),
-        "again": _count(r"(?<![\p{L}\p{M}])([\p{L}\p{M}]{2,})(?= \1(?![\p{L}\p{M}]))"),
-    }
-    assert list(cols) == _RAW
-    # the counts are made in the JVM; what follows from them, in one vectorized step over numbers alone
-    counted = t.select(*keys, "chars", F.col("t").rlike(r"[.!?؟。！？…][\"'”’»」』）)\]]*\s*$").alias("end_mark"), F.array(*(v.cast("double") for v in cols.values())).alias("counts"))
-    derived = counted.withColumn("d", F.pandas_udf(_derived, _DERIVED)("counts", "chars"))
-    return derived.select(*keys, "chars", "end_mark", "d.*")
-
-
-_DERIVED = "letters double, lang string, words double, mean_word_length double, symbol_ratio double, common_ratio double, " + ", ".join(f"{c} double" for c in CLASSES)
-
-
-def _derived(counts: pd.Series, chars: pd.Series) -> pd.DataFrame:
+    mark, end = regex.compile(_NOTE_MARK), regex.compile(r"[.!?؟。！？…][\"'”’»」』）)\]]*\s*$")
+    names = [c.split()[0] for c in _FEATURES.split(", ")]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Tokens()
+        for pdf in batches:
+            if len(known) > 300_000:
+                known = Tokens()
+            texts = [mark.sub("", t) for t in pdf["text"]]
+            chars = np.array([len(t) for t in pdf["text"]], np.int32)
+            derived = _derived(_counts(texts, known), chars)
+            derived["end_mark"], derived["chars"] = [end.search(t[-200:] if len(t) > 200 and not t[-200:].isspace() else t) is not None for t in texts], chars
+            yield pd.concat([pdf.drop(columns="text").reset_index(drop=True), derived[["chars", "end_mark", *names]]], axis=1)
+
+    rows = blocks.where("text is not null").select(*keys, F.xxhash64("text").alias("h"), "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
+    return rows.mapInPandas(work, f"{schema}, chars int, end_mark boolean, {_FEATURES}")
+
+
+def _derived(raw: np.ndarray, n: np.ndarray) -> pd.DataFrame:
     """Language, words and class counts of each row of raw counts."""
-    if not len(counts):
-        return pd.DataFrame({c.split()[0]: pd.Series(dtype=object if c.endswith("string") else float) for c in _DERIVED.split(", ")})
-    raw = np.stack(counts.to_numpy())
     c = {k: raw[:, i] for i, k in enumerate(_RAW)}
     latin = np.stack([c[f"f_{k}"] for k in FUNCTION_WORDS])
     spaceless = c["cjk"] * 2 > c["letters"]
@@ -131,57 +160,62 @@ def _derived(counts: pd.Series, chars: pd.Series) -> pd.DataFrame:
     out = {"function": np.where(spaceless, syllables, latin.max(axis=0)), "capital": np.minimum(c["capital"], words), "repeat": c["again"], "end": c["ends"]}
     out |= {k: c[k] for k in ("number", "mixed", "comma", "symbol", "leader")}
     out["word"] = np.maximum(words - out["function"] - out["capital"] - out["repeat"] - out["mixed"], 0)
-    n = chars.to_numpy()
     with np.errstate(divide="ignore", invalid="ignore"):
         ratios = {"mean_word_length": np.where(words > 0, c["letters"] / words, np.nan), "symbol_ratio": np.where(n > 0, c["symbol"] / n, np.nan), "common_ratio": np.where(words > 0, out["function"] / words, np.nan)}
     return pd.DataFrame({"letters": c["letters"], "lang": lang, "words": words} | ratios | {k: out[k] for k in CLASSES})
 
 
-def _nearest(counts: pd.Series, learned: pd.Series) -> pd.DataFrame:
-    """The structural profile with the least Jensen-Shannon divergence (in bits) from each row's class shares."""
-    n = len(counts)
-    if not n:
-        return pd.DataFrame({"structure": pd.Series(dtype=str), "divergence": pd.Series(dtype=float)})
-    p = np.stack(counts.to_numpy())
-    total = p.sum(axis=1, keepdims=True)
-    p = p / np.where(total > 0, total, 1)
-
-    def js(q: np.ndarray) -> np.ndarray:
-        m = (p + q) / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return (np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)).sum(axis=1) / 2
-
-    names, all_d = [], []
-    for name, profiles in PROFILES.items():
-        names.append(name)
-        all_d.append(np.min([js(np.asarray(q) / sum(q)) for q in profiles], axis=0))
-    known = np.array([x is not None for x in learned])
-    if known.any():
-        q = np.stack([x if x is not None else np.zeros(len(CLASSES)) for x in learned])
-        all_d[0] = np.where(known, np.minimum(all_d[0], js(q)), all_d[0])
-    d = np.stack(all_d)
-    best = d.argmin(axis=0)
-    return pd.DataFrame({"structure": np.where(total[:, 0] > 0, np.array(names)[best], "none"), "divergence": d[best, np.arange(n)]})
-
-
-def classify_blocks(features: DataFrame, prose: DataFrame | None = None) -> DataFrame:
-    """features and `structure`: prose, list, contents, table, junk, or none (no token at all); `divergence` from it.
-
-    prose: (lang, shares) as learned by prose_profiles; without it, the starting profile alone stands for prose.
-    """
-    shares = F.lit(None).cast("array<double>")
-    if prose is not None:  # at most one row a language
-        features, shares = features.join(F.broadcast(prose), "lang", "left"), F.col("shares")
-    near = features.withColumn("near", F.pandas_udf(_nearest, "structure string, divergence double")(F.array(*CLASSES), shares))
-    return near.select("*", "near.*").drop("near", "shares")
-
-
-def prose_profiles(features: DataFrame) -> DataFrame:
-    """lang, shares: class shares summed over every block that the starting profile calls prose and that ends like a sentence."""
-    seen = classify_blocks(features).where("structure = 'prose' and end_mark")
-    sums = seen.groupBy("lang").agg(*(F.sum(c).alias(c) for c in CLASSES))
-    total = sum(F.col(c) for c in CLASSES)
-    return sums.where(total > 0).select("lang", F.array(*((F.col(c) / total) for c in CLASSES)).alias("shares"))
+#: (number of the centre, structure, language or None for any, shares)
+Profile = tuple[int, str, str | None, tuple[float, ...]]
+START: list[Profile] = [(i, name, None, shares) for i, (name, shares) in enumerate((n, q) for n, v in PROFILES.items() for q in v)]
+
+
+def _nearest(profiles: list[Profile]):
+    """A vectorized function: the profile with the least Jensen-Shannon divergence (in bits) from each row's class shares."""
+
+    def near(counts: pd.Series, lang: pd.Series) -> pd.DataFrame:
+        if not len(counts):
+            return pd.DataFrame({"centre": pd.Series(dtype="int32"), "structure": pd.Series(dtype=str), "divergence": pd.Series(dtype=float)})
+        p = np.stack(counts.to_numpy())
+        total = p.sum(axis=1, keepdims=True)
+        p = p / np.where(total > 0, total, 1)
+        langs = lang.to_numpy()
+        d = np.empty((len(profiles), len(p)))
+        for k, (_, _, own, shares) in enumerate(profiles):
+            q = np.asarray(shares) / sum(shares)
+            m = (p + q) / 2
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d[k] = (np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)).sum(axis=1) / 2
+            if own is not None:
+                d[k, langs != own] = np.inf
+        best = d.argmin(axis=0)
+        names, numbers = np.array([x[1] for x in profiles], dtype=object), np.array([x[0] for x in profiles], np.int32)
+        return pd.DataFrame({"centre": numbers[best], "structure": np.where(total[:, 0] > 0, names[best], "none"), "divergence": d[best, np.arange(len(p))]})
+
+    return F.pandas_udf(near, "centre int, structure string, divergence double")
+
+
+def classify_blocks(features: DataFrame, profiles: list[Profile] | None = None) -> DataFrame:
+    """features and `structure`: prose, list, contents, table, junk, or none (no token at all); `divergence` from the nearest profile, `centre` its number."""
+    near = features.withColumn("near", _nearest(profiles or START)(F.array(*(F.col(c).cast("double") for c in CLASSES)), F.col("lang")))
+    return near.select("*", "near.*").drop("near")
+
+
+def learned_profiles(features: DataFrame, rounds: int = LEARNING) -> list[Profile]:
+    """The centres after some rounds over all blocks; one that fewer than LEAST blocks join stays as it is, prose of any language too."""
+    profiles = START
+    for _ in range(rounds):
+        total = sum(F.col(c) for c in CLASSES)
+        prose = F.col("structure") == "prose"
+        joined = classify_blocks(features, profiles).where((total > 0) & (~prose | F.col("end_mark")))
+        weight = F.when(prose, 1.0).otherwise(1.0 / total)  # long blocks of prose say more; of the others, each as much
+        sums = joined.groupBy("centre", F.when(prose, F.col("lang")).alias("lang")).agg(F.count("*").alias("n"), *(F.sum(F.col(c) * weight).alias(c) for c in CLASSES))
+        seen = [r for r in sums.where(F.col("n") >= LEAST).collect()]  # at most centres times languages
+        names = {i: name for i, name, _, _ in START}
+        learned = [(r["centre"], names[r["centre"]], r["lang"], tuple(float(r[c]) for c in CLASSES)) for r in seen if names[r["centre"]] != "prose" or r["lang"] is not None]
+        known = {i for i, name, _, _ in learned if name != "prose"}
+        profiles = sorted([x for x in START if x[0] not in known] + learned, key=lambda x: (x[0], x[2] or ""))
+    return profiles
 
 
 def book_statistics(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -191,9 +225,10 @@ def book_statistics(blocks: DataFrame, pages: DataFrame | None = None) -> DataFr
     Equal rows count once; null or empty texts and texts without any token weigh nothing; a null doc_id is a book of its own; page_chars
     and pages come from pages_geom (null text_chars are skipped) and are null for books without pages.
     """
-    body = blocks.where("kind in ('p', 'note')").select("doc_id", "block_id", "text").distinct()
+    body = blocks.where("kind in ('p', 'note')").select("doc_id", "block_id", "text")
     features = settled(block_features(body))  # numbers only; read for the profiles and again for the classes
-    kinds = classify_blocks(features, prose_profiles(features))
+    # repeated rows go here, where a row is a few numbers
+    kinds = classify_blocks(features, learned_profiles(features)).select("doc_id", "block_id", "h", "chars", "words", "letters", "symbol", "function", "end_mark", "structure").distinct()
     chars = lambda s: F.sum(F.when(F.col("structure") == s, F.col("chars")).otherwise(0))
     names = [k for k in PROFILES]
     out = kinds.groupBy("doc_id").agg(
