@@ -249,15 +249,18 @@ def test_frequent_sequences_against_all_subsequences(spark, monkeypatch, broadca
 
 # 5 ------------------------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("a, b, same", [
+SAME_LOOK = [
     ("ｔｈｅ cat", "the cat", True), ("café", "café", True), ("the cat", "the cat", True), ("c​at", "cat", True), ("сaр", "cар", True), ("ﬁsh", "fish", True),
     ("علي كتاب", "علی کتاب", True), ("می‌روم", "میروم", False), ("کتاب‌ من", "کتاب من", True), ("در‌خانه", "درخانه", True), ("ﺳﻼم", "سلام", True), ("⽊屋", "木屋", True), ("น้ำ", "น้ํา", True),
     ("ẹ́", "ẹ́", True), ("Cat", "cat", False), ("cafe", "café", False), ("cat 1", "cat 2", False), ("x²", "x2", False), ("ガ", "ガ", True),
-])
-def test_same_look(spark, a, b, same):
-    table = spark.createDataFrame([(1, a), (2, b)], "i int, text string")
-    forms = [r["form"] for r in lookalike.unified(table).orderBy("i").collect()]
-    assert (forms[0] == forms[1]) == same
+]
+
+
+def test_same_look(spark):
+    table = spark.createDataFrame([(2 * i + k, t) for i, (a, b, _) in enumerate(SAME_LOOK) for k, t in enumerate((a, b))], "i int, text string")
+    forms = {r["i"]: r["form"] for r in lookalike.unified(table).collect()}
+    for i, (a, b, same) in enumerate(SAME_LOOK):
+        assert (forms[2 * i] == forms[2 * i + 1]) == same, (a, b)
 
 
 def test_forms_match_unicode(spark):
@@ -278,6 +281,24 @@ def test_pairs_and_odd_input(spark):
     assert out.count() == len(rows) and out.where("text is null and form is not null").count() == 0
 
 
+def test_classes_against_pairs(spark, monkeypatch):
+    rnd = random.Random(5)
+    variants = ["the cat sat", "ｔhe cat sat", "the​ cat sat", "thе cаt sat", "café x", "café x", "alone"]
+    rows = [(i, 1, i, "p", rnd.choice(variants)) for i in range(60)] + [(3, 1, 3, "p", "again"), (None, 1, 9, "p", "the cat sat")]
+    table = blocks(spark, rows)
+    pairs = {tuple(r) for r in lookalike.found(table).collect()}
+    links = {}
+    for a, b in pairs:
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    for few in (200_000, 0):
+        monkeypatch.setattr(repeated, "BROADCAST_ROWS", few)
+        got = {r["block_id"]: r for r in lookalike.classes(table).collect()}
+        assert {i: r["links"] for i, r in got.items()} == {i: len(v) for i, v in links.items()}
+        assert all(r["class_id"] == min([i, *links[i]] + [j for k in links[i] for j in links[k]]) for i, r in got.items())
+        assert {tuple(r) for r in lookalike.found(table).collect()} == pairs
+
+
 # 6 ------------------------------------------------------------------------------------------------------------
 
 def test_pieces_go_back_to_the_text(spark):
