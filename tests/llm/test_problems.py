@@ -119,7 +119,29 @@ def test_every_transformation_goes_back(written, read):
     word = {"cp1256": "قديمي", "cp1251": "старый"}.get(written, "größeréñ")
     loose = word.encode(written).decode(read, "replace")
     if "�" not in loose:
-        assert garbled.read_back(loose, written, read) == word and f"{written}>{read}" in garbled.explain(loose, word)
+        assert garbled.read_back(loose, written, read) == word
+        read_as, written_as = ({(label, b) for side, label, b in garbled.encoded(w, 9) if side == s} for w, s in ((loose, "r"), (word, "w")))
+        assert any(r == read and w == written and a == b for r, a in read_as for w, b in written_as)
+
+
+def test_an_encoding_in_no_list_is_learned(spark):
+    """Letters swapped as by an unknown table: the mapping is inferred by aligning twins, and applied to words without one."""
+    swap = {"é": "Ŧ", "è": "Ħ", "ö": "Ŋ", "ü": "Ɖ", "ñ": "Ɣ"}
+    clean = ["préparé dépassé étroit désolé isolé musée sévère mères pères frère après procès", "größere müde hölzerne schöne", "pequeño mañana español señal"] * 40
+    wrong = ["".join(swap.get(c, c) for c in t) for t in clean[:3]]
+    legit = ["preparе́ dépassé", "dé­passé mus​ée"] * 3
+    got = {r["line_no"]: r["restored"] for r in garbled.repaired(spans(spark, clean + legit + wrong[:1])).collect()}
+    assert got == {len(clean + legit): clean[0]}
+    assert garbled.aligned("rencontrĦre", "rencontrère") == [("Ħ", "è")] and garbled.aligned("a√©b√®", "aébè") == [("√©", "é"), ("√®", "è")] and garbled.aligned("aéb", "acé") == []
+
+
+def test_spans_of_many_runs(spark):
+    """Nothing depends on the number of stretches of a span, nor on how many texts stand at one place of it."""
+    words = [f"{a}{b}{c}щий" for a in "бвгд" for b in "аоуи" for c in "клмн"]
+    clean = [" 1 ".join(random.Random(i).choices(words, k=30)) for i in range(60)]
+    bad = " 1 ".join(words[:30]).encode("cp1251").decode("koi8_r")
+    got = {r["line_no"]: r["restored"] for r in garbled.repaired(spans(spark, clean + [bad])).collect()}
+    assert got == {60: " 1 ".join(words[:30])}
 
 
 def test_garbled_odd_input(spark):

@@ -1,21 +1,27 @@
 """Problem 2: text decoded with the wrong encoding, found and restored.
 
-Method: garbled records are joined with clean near-twins on their text stripped of non-ASCII characters: words on
-their ASCII letters, and the words of a span on the span's ASCII pattern and their place in it. The most frequent
-text of a key stands for the clean one. Aligned pairs vote for transformations (bytes written in one encoding and
-read in another, once or twice); those with enough different words are learned and applied, in reverse, to all
-remaining words. A word is garbled if a learned transformation turns it into a word of the corpus that is far more
-frequent, or, where the transformation's own checks suffice (several bytes to a character), into letters of the corpus.
-
-Only distinct words go through Python; spans are met again by one join with the garbled words.
+Method: garbled records are joined with clean near-twins on their text stripped of non-ASCII characters, and
+transformations are inferred from what is left: the characters that stand where others do. A pair of words is a twin if
+their ASCII letters agree, or if both stand at the same place of the same ASCII pattern of a span. Twins are found for
+all words at once by what a transformation leaves alone: the bytes. Every word meets the more frequent ones whose bytes
+in one encoding are its own in another (written, then read wrongly, once or twice): an equality join, without pairs of a
+place and without limits on candidates. Encodings outside the list are learned as well: twins by their ASCII letters are
+aligned character by character, and characters that nearly always stand for one other become a mapping.
+
+Transformations and mappings with enough different words are applied, in reverse, to all remaining words. A word is
+garbled if that turns it into a word of the corpus that is far more frequent, or, where the transformation's own checks
+suffice (several bytes to a character), into letters of the corpus. Only distinct words go through Python; spans are met
+again by one join with the garbled words.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settled
@@ -24,12 +30,14 @@ from .lookalike import LATIN_LOOKALIKES, PERSIAN_FOLDS
 #: Encodings tried as writer and as reader.
 CODECS = ("utf-8", "cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1256", "iso8859_5", "iso8859_6", "koi8_r", "cp866", "cp874", "gbk", "cp932", "euc_jp", "cp949", "big5")
 MULTI = ("utf-8", "gbk", "cp932", "euc_jp", "cp949", "big5")
-MIN_WORDS, TIMES, CANDIDATES, MIN_TIMES = 2, 5, 6, 5
+MIN_WORDS, TIMES, MIN_TIMES, RATIO = 2, 5, 5, 3  # RATIO: how often the clean twin stands for each time of the garbled one
+ALIGNED, MIN_ALIGNED, SURE = "aligned", 5, 0.9  # words that show a character mapping, and how many of a character's words must agree
 _FOLDED, _FOLDS = ("".join(p[i] for p in PERSIAN_FOLDS.split()) for i in (0, 1))  # old encodings have the Arabic letters only
 _ALIKE = {p[0]: p[1] for p in LATIN_LOOKALIKES.split() if "Ѐ" <= p[0] <= "ӿ"}
 KEYS = ("doc_id", "page_no", "line_no", "span_no")
 LOST = "\ufffd"
 _LOST = r"[\x{fffd}\x{80}-\x{9f}]"  # never in a clean text
+_RUN = "[^\\x00-\\x7F]+"
 _TRIM = r"^[\p{P}\p{S}\p{Z}]+|[\p{P}\p{S}\p{Z}]+$"
 
 
@@ -90,26 +98,6 @@ def undo(word: str, chain: str) -> str | None:
     return word
 
 
-def explain(garbled: str, clean: str) -> list[str]:
-    """The chains that turn the clean word into the garbled one: single ones, or else double ones through UTF-8."""
-    hits = []
-    for w in CODECS:
-        try:
-            data = clean.encode(w)
-        except UnicodeEncodeError:
-            continue
-        # one byte is one character, so lengths rule out nearly every pair of encodings
-        readers = [r for r in CODECS if r not in MULTI] if len(data) == len(garbled) else MULTI[1:] if len(data) > len(garbled) else ()
-        hits += [f"{w}>{r}" for r in readers if r != w and to_bytes(garbled, r) == data]
-    if not hits and len(garbled) >= 2 * len(clean) > 2:
-        for a in _TWICE:
-            for b in _TWICE:
-                mid = clean.encode().decode(a, "ignore") if a != "cp1252" else _loose(clean.encode())
-                if len(mid.encode()) == len(garbled) and undo(garbled, f"utf-8>{b} utf-8>{a}") == clean:
-                    hits.append(f"utf-8>{b} utf-8>{a}")
-    return hits
-
-
 _TWICE = ("cp1252", "cp1256", "cp1251", "mac_roman", "cp437", "cp850")
 
 
@@ -137,45 +125,112 @@ def words_of(spans: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
+def encoded(word: str, n: int) -> list[tuple[str, str, bytes]]:
+    """(side, label, bytes) of a word: what it may have been written as ('w'), if it is frequent enough to be a twin, and what may have been read ('r')."""
+    out = [("r", r, b) for r in CODECS if (b := to_bytes(word, r)) is not None]
+    if n >= RATIO:
+        for w in CODECS:
+            try:
+                out.append(("w", w, word.encode(w)))
+            except UnicodeEncodeError:
+                pass
+        once = word.encode("utf-8", "ignore")
+        for a in _TWICE:
+            mid = _loose(once) if a == "cp1252" else once.decode(a, "ignore")
+            out.append(("w", f"utf-8>{a} utf-8", mid.encode()))
+    return out
+
+
 def twins(spans: DataFrame, words: DataFrame) -> DataFrame:
-    """garbled, clean, n: each text and the most frequent ones under the same ASCII key, and how often it stands there."""
-    skeleton = F.regexp_replace("word", "[^\\x21-\\x7e]", "")
-    keyed = words.where(~F.col("word").rlike(_LOST)).withColumn("key", skeleton).where("length(regexp_replace(key, '[^A-Za-z]', '')) >= 3")
-    best = keyed.groupBy("key").agg(F.max_by("word", F.struct("n", "word")).alias("clean"), F.max("n").alias("top"))
-    by_word = keyed.join(best, "key").where("word <> clean and top >= 3 * n").select("word", "clean", "n")
+    """garbled, clean, chain, n: each word and a word RATIO times as frequent whose bytes it has, with the same ASCII letters or at a place that both stand at."""
+
+    def bytes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(w, n, side, label, b) for w, n in zip(pdf["word"], pdf["n"]) for side, label, b in encoded(w, n)]
+            yield pd.DataFrame(rows, columns=["word", "n", "side", "label", "b"])
+
+    spread = spans.sparkSession.sparkContext.defaultParallelism  # a small table, but seconds of work
+    whole = words.where(~F.col("word").rlike(_LOST)).select("word", "n", (F.length(F.regexp_replace("word", "[^A-Za-z]", "")) >= 3).alias("stripped"))
+    runs = whole.where(~F.col("stripped")).select(F.explode(F.regexp_extract_all("word", F.lit(_RUN), F.lit(0))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    units = whole.where("stripped").select("word", "n").unionByName(runs)
+    sides = units.repartition(spread, "word").mapInPandas(bytes_of, "word string, n bigint, side string, label string, b binary")
+    sides = settled(sides.select("word", "n", "side", "label", F.xxhash64("b").alias("h1"), F.hash("b").alias("h2")))
+    write, read = sides.where("side = 'w'").select(F.col("word").alias("clean"), F.col("n").alias("top"), F.col("label").alias("w"), "h1", "h2"), sides.where("side = 'r'").select(F.col("word").alias("garbled"), "n", F.col("label").alias("r"), "h1", "h2")
+    met_ = read.join(write, ["h1", "h2"]).where((F.col("garbled") != F.col("clean")) & (F.col("top") >= RATIO * F.col("n")) & ((F.length("garbled") > 1) | (F.length("clean") > 1)))
+    first, second = F.split("w", " ").getItem(0), F.split("w", " ").getItem(1)
+    double = F.contains("w", F.lit(" "))
+    chain = F.when(double & F.col("r").isin(*_TWICE), F.concat(second, F.lit(">"), F.col("r"), F.lit(" "), first)).when(~double & (F.col("w") != F.col("r")), F.concat("w", F.lit(">"), "r"))
+    pairs = settled(met_.select("garbled", "clean", chain.alias("chain"), "n").where("chain is not null"))
+    stripped = F.col("garbled").rlike("[A-Za-z]")  # bytes agree, so these letters do
     # the words of a span by their place in the span's ASCII pattern: letters and digits in runs, so that names and numbers agree
     pattern = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[^\\x20-\\x7e]", ""), "[A-Za-z]+", "a"), "[0-9]+", "0")
     mostly = F.length(F.regexp_replace("text", "[^A-Za-z]", "")) * 2 < F.length("text")
-    lines = spans.where(F.col("text").rlike("[A-Za-z0-9]") & _beyond("text") & mostly & ~F.col("text").rlike(_LOST)).select(pattern.alias("pattern"), F.regexp_extract_all("text", F.lit("[^\\x00-\\x7F]+"), F.lit(0)).alias("w"))
-    placed = lines.select("pattern", F.size("w").alias("size"), F.posexplode("w").alias("at", "word")).where("size <= 24")
-    counted = settled(placed.groupBy("pattern", "size", "at", "word").agg(F.count("*").alias("n")))  # read twice
-    # several languages share a pattern, so the most frequent CANDIDATES texts of a place all stand for clean ones
-    order = Window.partitionBy("pattern", "size", "at").orderBy(F.desc("n"), "word")
-    top = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CANDIDATES).select("pattern", "size", "at", F.col("word").alias("clean"), F.col("n").alias("top"))
-    by_place = counted.join(top, ["pattern", "size", "at"]).where("word <> clean and top >= 3 * n").select("word", "clean", "n")
-    return by_word.unionByName(by_place).groupBy(F.col("word").alias("garbled"), "clean").agg(F.sum("n").alias("n"))
+    lines = spans.where(F.col("text").rlike("[A-Za-z0-9]") & _beyond("text") & mostly & ~F.col("text").rlike(_LOST)).select(pattern.alias("pattern"), F.regexp_extract_all("text", F.lit(_RUN), F.lit(0)).alias("w"))
+    places = settled(lines.select(F.posexplode("w").alias("at", "word"), F.xxhash64("pattern", F.size("w")).alias("pattern")).distinct())
+    open_ = pairs.where(~stripped).select("garbled", "clean").distinct()
+    at_garbled = places.join(open_, places["word"] == open_["garbled"]).select("pattern", "at", "garbled", "clean")
+    shared = at_garbled.join(places.select("pattern", "at", F.col("word").alias("clean")), ["pattern", "at", "clean"], "left_semi").select("garbled", "clean").distinct()
+    return pairs.where(stripped).unionByName(pairs.where(~stripped).join(shared, ["garbled", "clean"], "left_semi"))
 
 
-def learn(spans: DataFrame, words: DataFrame, min_words: int = MIN_WORDS) -> list[str]:
-    """The transformations that at least min_words different aligned words (or MIN_TIMES times the same) agree on, the best supported first."""
+def aligned(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """What stands for which character: stretches beyond ASCII between the same ASCII ones, one or as many characters to each."""
+    parts, others = (_STRETCH.split(x) for x in (garbled, clean))
+    if parts[::2] != others[::2]:
+        return []
+    out = []
+    for g, c in zip(parts[1::2], others[1::2]):
+        k, rest = divmod(len(g), len(c))
+        if rest or not k:
+            return []
+        out += [(g[i * k : i * k + k], x) for i, x in enumerate(c)]
+    return out
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+_STRETCH = re.compile("([^\\x00-\\x7f]+)")
+
+
+def same_look(a: str, b: str) -> bool:
+    """Whether two stretches differ by accents, invisible characters and forms of the same characters only, so that no wrong decoding lies between them."""
+    fold = lambda s: "".join(_LOOKS.get(c, c) for c in unicodedata.normalize("NFKD", s) if unicodedata.category(c) not in ("Mn", "Cf"))
+    return fold(a) == fold(b)
+
+
+_LOOKS = {p[0]: p[1] for p in (PERSIAN_FOLDS + " " + LATIN_LOOKALIKES).split()}
+
+
+def mappings(words: DataFrame) -> dict[str, str]:
+    """Characters, or stretches of them, that stand for one other in SURE of at least MIN_ALIGNED twins by ASCII letters: encodings that are in no list."""
+    key = F.regexp_replace("word", "[^\\x21-\\x7e]", "")
+    keyed = words.where(~F.col("word").rlike(_LOST)).withColumn("key", key).where("length(regexp_replace(key, '[^A-Za-z]', '')) >= 3")
+    best = keyed.groupBy("key").agg(F.max_by("word", F.struct("n", "word")).alias("clean"), F.max("n").alias("top"))
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(k, g, n) for g, c, n in zip(pdf["garbled"], pdf["clean"], pdf["n"]) if len(g) > 1 or len(c) > 1 for k in explain(g, c)]
-            yield pd.DataFrame(out, columns=["chain", "garbled", "n"])
+            out = [(g, a, b) for g, c in zip(pdf["word"], pdf["clean"]) for a, b in aligned(g, c) if a != b and b.isalpha() and not same_look(a, b)]
+            yield pd.DataFrame(out, columns=["word", "old", "new"])
 
-    spread = spans.sparkSession.sparkContext.defaultParallelism  # a small table, but seconds of work
-    votes = twins(spans, words).repartition(spread, "garbled").mapInPandas(vote, "chain string, garbled string, n bigint")
-    rows = votes.groupBy("chain").agg(F.count_distinct("garbled").alias("words"), F.sum("n").alias("n")).where((F.col("words") >= min_words) | (F.col("n") >= MIN_TIMES)).orderBy(F.desc("words"), "chain").collect()  # at most one row a chain
+    pairs = keyed.join(best, "key").where((F.col("word") != F.col("clean")) & (F.col("top") >= RATIO * F.col("n"))).select("word", "clean")
+    shown = pairs.mapInPandas(align, "word string, old string, new string").groupBy("old", "new").agg(F.count_distinct("word").alias("words"))
+    total = shown.groupBy("old").agg(F.sum("words").alias("all"), F.max_by("new", F.struct("words", "new")).alias("new"), F.max("words").alias("words"))
+    seen = total.where((F.col("words") >= MIN_ALIGNED) & (F.col("words") >= SURE * F.col("all"))).select("old", "new")
+    return {r["old"]: r["new"] for r in seen.collect()}  # at most one row a character or short stretch
+
+
+def learn(spans: DataFrame, words: DataFrame, min_words: int = MIN_WORDS) -> list[str]:
+    """The transformations that at least min_words different twins (or MIN_TIMES times the same) agree on, the best supported first."""
+    votes = twins(spans, words).groupBy("chain").agg(F.count_distinct("garbled").alias("words"), F.sum("n").alias("n"))
+    rows = votes.where((F.col("words") >= min_words) | (F.col("n") >= MIN_TIMES)).orderBy(F.desc("words"), "chain").collect()  # at most one row a chain
     return [r["chain"] for r in rows]
 
 
-def garbled_words(words: DataFrame, learned: list[str]) -> DataFrame:
+def garbled_words(words: DataFrame, learned: list[str], mapped: dict[str, str] | None = None) -> DataFrame:
     """word, restored (null where characters are lost), chain, of every garbled word."""
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         steps = [(k, k.split(" ")[0].split(">"), k.partition(" ")[2]) for k in learned]
         readers = {first[1] for _, first, _ in steps}
+        known = re.compile("|".join(map(re.escape, sorted(mapped, key=lambda x: (-len(x), x))))) if mapped else None
         for pdf in batches:
             out = []
             for w, n in zip(pdf["word"], pdf["n"]):
@@ -186,6 +241,8 @@ def garbled_words(words: DataFrame, learned: list[str]) -> DataFrame:
                         r = undo(r, rest)
                     if r is not None and r != w and (r == LOST and k == "utf-8>cp1252" or (r.isprintable() or "\u200c" in r) and LOST not in r):
                         out.append((w, n, r, k, k.split(">")[0] in MULTI))
+                if known and known.search(w) and w != (r := known.sub(lambda m: mapped[m[0]], w)):
+                    out.append((w, n, r, ALIGNED, False))
             yield pd.DataFrame(out, columns=["word", "n", "restored", "chain", "multi"])
 
     lost = words.where(F.col("word").rlike(_LOST)).select("word", F.lit(None).cast("string").alias("restored"), F.lit(None).cast("string").alias("chain"), F.lit(0.0).alias("score"))
@@ -222,7 +279,7 @@ def repaired(spans: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """
     rows = spans.where("text is not null").select(*keys, "text")
     words = settled(words_of(rows))
-    bad = settled(garbled_words(words, learn(rows, words)))
+    bad = settled(garbled_words(words, learn(rows, words), mappings(words)))
     some = rows.where(_beyond("text")).distinct()
     parts = some.select(*keys, "text", F.posexplode(F.split("text", " ")).alias("at", "word")).where(_beyond("word"))
     hits = parts.join(bad, "word").groupBy(*keys, "text").agg(F.map_from_entries(F.collect_list(F.struct("at", F.coalesce("restored", "word")))).alias("fixed"), F.max(F.col("restored").isNull()).alias("lost"))
@@ -233,6 +290,6 @@ def found(spans: DataFrame) -> DataFrame:
     """The keys of every span with a garbled word."""
     rows = spans.where("text is not null").select(*KEYS, "text")
     words = settled(words_of(rows))
-    bad = settled(garbled_words(words, learn(rows, words)).select("word"))
+    bad = settled(garbled_words(words, learn(rows, words), mappings(words)).select("word"))
     parts = rows.where(_beyond("text")).select(*KEYS, F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where(_beyond("word"))
     return parts.join(bad, "word", "left_semi").select(*KEYS).distinct()
