@@ -12,6 +12,7 @@ from varaq.operators import fonts as FT
 from varaq.operators import geometry as G
 from varaq.operators import layout as L
 from varaq.operators import outline as O
+from varaq.operators import package
 from varaq.operators import report as RP
 from varaq.plans import pipeline as PL
 from varaq.sources import readers as RD
@@ -129,6 +130,39 @@ def test_package(spark):
             ET.fromstring(z.read(n))
     assert nav.count("<li>") == 3 and "text/ch002.xhtml#h3" in nav
     assert 'class="note"' in z.read("OEBPS/text/ch001.xhtml").decode()
+    book = opf.split('<dc:identifier id="bookid">')[1].split("</dc:identifier>")[0]
+    import uuid
+
+    assert book == f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'document:1')}" and f'name="dtb:uid" content="{book}"' in ncx
+    assert '<meta name="cover"' not in opf and "direction:" not in z.read("OEBPS/style/book.css").decode() and "<guide" not in opf
+    names = {i.attrib["href"] for i in ET.fromstring(z.read("OEBPS/content.opf")).iter("{http://www.idpf.org/2007/opf}item")}
+    assert names == {n.removeprefix("OEBPS/") for n in z.namelist()} - {"mimetype", "META-INF/container.xml", "content.opf"}
+
+
+def test_fonts_of_a_package_are_used(spark):
+    titles = spark.createDataFrame([(1, None, None)], "doc_id bigint, title string, author string")
+    fonts = {"regular": ("A.ttf", b"one"), "bold_italic": ("A-BI.otf", b"two")}
+    made = PL.books(_stored(spark, ["p", "p"]), titles, fonts=fonts).first()
+    z = zipfile.ZipFile(io.BytesIO(bytes(made["epub"])))
+    css, opf, nav = (z.read(f"OEBPS/{n}").decode() for n in ("style/book.css", "content.opf", "nav.xhtml"))
+    assert z.read("OEBPS/fonts/A.ttf") == b"one" and z.read("OEBPS/fonts/A-BI.otf") == b"two"
+    assert 'url("../fonts/A.ttf") format("truetype")' in css and 'url("../fonts/A-BI.otf") format("opentype")' in css and css.count('font-family: "book"') == 3
+    assert 'href="fonts/A.ttf" media-type="font/ttf"' in opf and "titlepage" not in opf and 'href="text/ch001.xhtml"' in nav
+
+
+def test_converter(tmp_path):
+    import stat
+
+    tool = tmp_path / "convert"
+    tool.write_text("#!/bin/sh\necho \"$@\" > \"$2\"; head -c 600 /dev/zero >> \"$2\"\n")
+    tool.chmod(tool.stat().st_mode | stat.S_IEXEC)
+    out = tmp_path / "made" / "b.mobi"
+    assert package.to_mobi("a.epub", str(out), tool=str(tool)) == str(out)
+    assert out.read_bytes().split(b"\n")[0].decode() == f"a.epub {out} --output-profile kindle --mobi-file-type new"
+    for script in ("exit 3", "true", 'echo x > "$2"'):
+        tool.write_text(f"#!/bin/sh\necho why >&2\n{script}\n")
+        with pytest.raises(RuntimeError, match="why"):
+            package.to_mobi("a.epub", str(tmp_path / "c.mobi"), tool=str(tool))
 
 
 def test_guard(spark):

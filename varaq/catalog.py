@@ -13,6 +13,7 @@ from .operators import fonts as FT
 from .operators import geometry as G
 from .operators import layout as L
 from .operators import outline as O
+from .operators import package as PK
 from .operators import render as R
 from .operators import report as RP
 from .oracles import ORACLES
@@ -390,7 +391,8 @@ def r07_title_pages(spark, d):
 
 @_query
 def s08_packages(spark, d):
-    return PL.books(_stored(spark, d), PL.titles(read_table(spark, d, "books"))).drop("epub")
+    """The members of every book's package, read back from its file."""
+    return PK.unpacked(PL.books(_stored(spark, d), PL.titles(read_table(spark, d, "books"))))
 
 
 @_query

@@ -78,13 +78,18 @@ def _page(head: Column | str, body: Column | str, language: str) -> Column:
     return F.concat(F.lit(start), lit(head), F.lit('<body dir="rtl">\n'), lit(body), F.lit("\n</body>\n</html>\n"))
 
 
+def content_page(title: Column, body: Column, language: str, sheet: str = "../style/book.css") -> Column:
+    """A content document with a head; title and body are markup."""
+    return _page(F.concat(F.lit('<head><meta charset="utf-8"/><title>'), title, F.lit(f'</title><link rel="stylesheet" type="text/css" href="{sheet}"/></head>\n')), body, language)
+
+
 def chapter_documents(markup: DataFrame, options: RenderOptions = RenderOptions(), standalone: bool = True) -> DataFrame:
     """doc_id, chapter, chapter_title, document: one content document per chapter; only a standalone one has a head."""
     g = markup.where("markup <> ''").groupBy("doc_id", "chapter", "chapter_title").agg(F.array_sort(F.collect_list(F.struct("block_no", "markup"))).alias("m"))
     body = F.concat(F.lit('<section epub:type="chapter">\n'), F.array_join(F.transform("m", lambda b: b["markup"]), "\n"), F.lit("\n</section>"))
     name = F.when(F.col("chapter_title") != "", F.col("chapter_title")).otherwise(F.lit(options.title or "—"))
-    head = F.concat(F.lit('<head><meta charset="utf-8"/><title>'), T.escape(name), F.lit('</title><link rel="stylesheet" type="text/css" href="../style/book.css"/></head>\n')) if standalone else ""
-    return g.select("doc_id", "chapter", "chapter_title", _page(head, body, options.language).alias("document"))
+    document = content_page(T.escape(name), body, options.language) if standalone else _page("", body, options.language)
+    return g.select("doc_id", "chapter", "chapter_title", document.alias("document"))
 
 
 def contents(nested_outline: DataFrame) -> DataFrame:
@@ -113,10 +118,11 @@ def stylesheet(options: RenderOptions = RenderOptions(), faces: str = "") -> str
     rules = {
         "body": f"{family}font-size: {options.base_size:g}em; line-height: {options.line_height:g}; text-align: {align};",
         "p": "margin: 0; text-indent: 1.6em;" if options.indent_paragraphs else "margin: 0; text-indent: 0;",
+        "h1 + p, h2 + p, h3 + p": "text-indent: 0;",
         "h1, h2, h3": "text-align: center; text-indent: 0; page-break-after: avoid; line-height: 1.4;",
         "h1": "font-size: 1.6em; margin: 2.4em 0 1.2em;", "h2": "font-size: 1.3em; margin: 1.8em 0 0.9em;", "h3": "font-size: 1.1em; margin: 1.4em 0 0.7em;",
         "aside.note": "font-size: 0.85em; margin: 0.8em 1.5em;", "p.caption": "text-align: center; font-size: 0.9em;",
-        "div.poem": "margin: 1em 2em; text-align: center;", "section.titlepage": "text-align: center; margin-top: 30%;",
+        "div.poem": "margin: 1em 2em; text-align: center;", "span.verse": "display: inline-block;", "hr": "border: 0; border-top: thin solid; width: 30%; margin: 1.5em auto;", "section.titlepage": "text-align: center; margin-top: 30%;",
         "p.book-title": "font-size: 1.9em; text-indent: 0;", "p.book-author": "font-size: 1.2em; text-indent: 0;",
     }
     return faces + "\n".join(f"{k} {{ {v} }}" for k, v in rules.items()) + "\n"

@@ -6,7 +6,6 @@ import unicodedata
 
 from .functions import text as T
 from .operators import fonts as FT
-from .operators.render import stylesheet
 
 WS = "[\\s\\x{0b}\\x{85}\\p{Z}]"
 _K = "doc_id, page_no, line_no, span_no"
@@ -382,8 +381,55 @@ _REPAIRED = f"SELECT DISTINCT s.doc_id, s.page_no, s.line_no, s.span_no, coalesc
 ORACLES["blocks_normalized"] = ORACLES["blocks"].replace("WITH RECURSIVE ", f"WITH RECURSIVE {_NORMAL}, ", 1).replace(_RAW_SPANS, _REPAIRED, 1)
 _TITLE_PAGE = f"""CASE WHEN title = '' AND author = '' THEN '' ELSE '<section class="titlepage" epub:type="titlepage">' || CASE WHEN title <> '' THEN '<p class="book-title">' || {_esc('title')} || '</p>' ELSE '' END
         || CASE WHEN author <> '' THEN '<p class="book-author">' || {_esc('author')} || '</p>' ELSE '' END || '</section>' END"""
-_STYLE = "</title><style>\n" + stylesheet() + "body { max-width: 34em; margin: 0 auto; }\n</style></head>\n"
+_SHEET = """body { font-size: 1em; line-height: 1.85; text-align: justify; }
+p { margin: 0; text-indent: 1.6em; }
+h1 + p, h2 + p, h3 + p { text-indent: 0; }
+h1, h2, h3 { text-align: center; text-indent: 0; page-break-after: avoid; line-height: 1.4; }
+h1 { font-size: 1.6em; margin: 2.4em 0 1.2em; }
+h2 { font-size: 1.3em; margin: 1.8em 0 0.9em; }
+h3 { font-size: 1.1em; margin: 1.4em 0 0.7em; }
+aside.note { font-size: 0.85em; margin: 0.8em 1.5em; }
+p.caption { text-align: center; font-size: 0.9em; }
+div.poem { margin: 1em 2em; text-align: center; }
+span.verse { display: inline-block; }
+hr { border: 0; border-top: thin solid; width: 30%; margin: 1.5em auto; }
+section.titlepage { text-align: center; margin-top: 30%; }
+p.book-title { font-size: 1.9em; text-indent: 0; }
+p.book-author { font-size: 1.2em; text-indent: 0; }
+"""
+_STYLE = "</title><style>\n" + _SHEET + "body { max-width: 34em; margin: 0 auto; }\n</style></head>\n"
 ORACLES["s11_preview"] = f"""WITH {_STORED}, {_CHAPTERS}, {_MARKUP}, {_BOOKS}, t AS (SELECT doc_id, {_T} AS title, {_A} AS author FROM latest),
         g AS (SELECT doc_id, string_agg(markup, chr(10) ORDER BY block_no) AS body FROM md WHERE markup <> '' GROUP BY doc_id)
         SELECT doc_id, {_s('<!DOCTYPE html>' + chr(10) + '<html lang="fa-IR" dir="rtl">' + chr(10) + '<head><meta charset="utf-8"/><title>')} || {_esc("CASE WHEN coalesce(title, '') <> '' THEN title ELSE 'preview' END")} || {_s(_STYLE + '<body dir="rtl">' + chr(10))}
         || concat_ws(chr(10), nullif({_TITLE_PAGE.replace("title = ''", "coalesce(title, '') = ''").replace("author = ''", "coalesce(author, '') = ''")}, ''), body) || {_s(chr(10) + '</body>' + chr(10) + '</html>' + chr(10))} AS html FROM g LEFT JOIN t USING (doc_id)"""
+
+
+def _xhtml(title: str, body: str, sheet: str = "../style/book.css") -> str:
+    return f"""{_s(_HEAD + '<head><meta charset="utf-8"/><title>')} || {title} || {_s('</title><link rel="stylesheet" type="text/css" href="' + sheet + '"/></head>' + chr(10) + '<body dir="rtl">' + chr(10))} || {body} || {_s(chr(10) + '</body>' + chr(10) + '</html>' + chr(10))}"""
+
+
+_DECLARED = '<?xml version="1.0" encoding="utf-8"?>' + chr(10)
+_NAME = f"coalesce({_esc('title')}, 'کتاب')"
+ORACLES["s08_packages"] = f"""WITH RECURSIVE {_STORED}, {_CHAPTERS}, {_MARKUP}, {_BOOKS}, {_NEST.format(t='ol')},
+        doc AS (SELECT doc_id, chapter, document FROM ({ORACLES['r03_chapter_documents'].split('FROM md')[0].split(_MARKUP)[1]} FROM md WHERE markup <> '' GROUP BY doc_id, chapter, chapter_title)),
+        bk AS (SELECT doc_id, nullif(title, '') AS title, nullif(author, '') AS author, sha1('\\x6b\\xa7\\xb8\\x11\\x9d\\xad\\x11\\xd1\\x80\\xb4\\x00\\xc0\\x4f\\xd4\\x30\\xc8'::BLOB || ('document:' || doc_id)::BLOB) AS h
+               FROM (SELECT DISTINCT doc_id FROM doc) LEFT JOIN (SELECT doc_id, {_T} AS title, {_A} AS author FROM latest) USING (doc_id)),
+        idn AS (SELECT *, 'urn:uuid:' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS ident FROM bk),
+        en AS (SELECT ol.doc_id, ol.entry_no, depth, level, title, printf('text/ch%03d.xhtml', chapter) || '#' || anchor AS href FROM ol JOIN dp ON dp.doc_id = ol.doc_id AND dp.entry_no = ol.entry_no
+               UNION ALL SELECT doc_id, chapter, 0, 1, 'بخش ' || chapter, printf('text/ch%03d.xhtml', chapter) FROM doc WHERE doc_id NOT IN (SELECT doc_id FROM ol)),
+        pt AS (SELECT *, row_number() OVER w AS n, greatest(0, depth - coalesce(lead(depth) OVER w, 0) + 1) AS closed, coalesce(lead(depth) OVER w, 0) AS nxt FROM en WINDOW w AS (PARTITION BY doc_id ORDER BY entry_no)),
+        mp AS (SELECT doc_id, max(level) AS depth, string_agg('<navPoint id="n' || n || '" playOrder="' || n || '"><navLabel><text>' || {_esc('title')} || '</text></navLabel><content src="' || href || '"/>' || repeat('</navPoint>', closed), '' ORDER BY n) AS points,
+               '<ol>' || string_agg('<li><a href="' || href || '">' || {_esc('title')} || '</a>' || CASE WHEN nxt > depth THEN '<ol>' ELSE '</li>' || repeat('</ol></li>', depth - nxt) END, '' ORDER BY n) || '</ol>' AS toc FROM pt GROUP BY doc_id),
+        pa AS (SELECT doc_id, 2 AS g, 0 AS nr, 'style/book.css' AS path, {_s(_SHEET)} AS content, 'text/css' AS media, '' AS prop, false AS spine FROM idn
+               UNION ALL SELECT doc_id, 3, 0, 'nav.xhtml', {_xhtml("'فهرست'", "'<nav epub:type=" + '"toc" id="toc"' + "><h1>فهرست</h1>' || toc || '</nav>'", "style/book.css")}, 'application/xhtml+xml', ' properties="nav"', false FROM idn JOIN mp USING (doc_id)
+               UNION ALL SELECT doc_id, 4, 0, 'toc.ncx', {_s(_DECLARED + '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1" xml:lang="fa-IR"><head><meta name="dtb:uid" content="')} || ident || '"/><meta name="dtb:depth" content="' || depth || '"/></head><docTitle><text>' || {_NAME} || '</text></docTitle><navMap>' || points || '</navMap></ncx>' || chr(10), 'application/x-dtbncx+xml', '', false FROM idn JOIN mp USING (doc_id)
+               UNION ALL SELECT doc_id, 5, 0, 'text/titlepage.xhtml', {_xhtml(_NAME, _TITLE_PAGE.replace("title = ''", "title IS NULL").replace("author = ''", "author IS NULL"))}, 'application/xhtml+xml', '', true FROM idn WHERE title IS NOT NULL OR author IS NOT NULL
+               UNION ALL SELECT doc_id, 6, chapter, printf('text/ch%03d.xhtml', chapter), document, 'application/xhtml+xml', '', true FROM doc),
+        li AS (SELECT *, 'part' || row_number() OVER (PARTITION BY doc_id ORDER BY g, nr) AS id FROM pa),
+        mf AS (SELECT doc_id, string_agg('<item id="' || id || '" href="' || path || '" media-type="' || media || '"' || prop || '/>', '' ORDER BY g, nr) AS items, string_agg(CASE WHEN spine THEN '<itemref idref="' || id || '"/>' ELSE '' END, '' ORDER BY g, nr) AS refs, max(id) FILTER (path = 'toc.ncx') AS ncx FROM li GROUP BY doc_id),
+        al AS (SELECT doc_id, g, nr, 'OEBPS/' || path AS name, content FROM li
+               UNION ALL SELECT doc_id, 0, 0, 'mimetype', 'application/epub+zip' FROM idn
+               UNION ALL SELECT doc_id, 1, 0, 'META-INF/container.xml', {_s(_DECLARED + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>' + chr(10))} FROM idn
+               UNION ALL SELECT doc_id, 8, 0, 'OEBPS/content.opf', {_s(_DECLARED + '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="bookid" xml:lang="fa-IR"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="bookid">')} || ident || '</dc:identifier><dc:title>' || {_NAME}
+                   || '</dc:title><dc:language>fa-IR</dc:language>' || coalesce('<dc:creator>' || {_esc('author')} || '</dc:creator>', '') || '<meta property="dcterms:modified">2000-01-01T00:00:00Z</meta></metadata><manifest>' || items || '</manifest><spine toc="' || ncx || '" page-progression-direction="rtl">' || refs || '</spine></package>' || chr(10) FROM idn JOIN mf USING (doc_id))
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g, nr) - 1)::INTEGER AS position, name, CASE WHEN name = 'mimetype' THEN 'stored' ELSE 'deflated' END AS method, content FROM al"""

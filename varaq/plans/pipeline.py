@@ -29,14 +29,14 @@ def built_blocks(spans: DataFrame, pages: DataFrame, keep_notes: bool = True, ma
     return B.build(repaired(sound, options) if options else sound, first_pages(pages, max_pages), keep_notes)
 
 
-def books(blocks: DataFrame, titles: DataFrame, options: render.RenderOptions = render.RenderOptions()) -> DataFrame:
-    """doc_id, epub, bytes from blocks (with runs or without) and titles (doc_id, title, author)."""
+def books(blocks: DataFrame, titles: DataFrame, options: render.RenderOptions = render.RenderOptions(), fonts: dict[str, tuple[str, bytes]] | None = None) -> DataFrame:
+    """doc_id, epub, bytes from blocks (with runs or without), titles (doc_id, title, author) and the files of a font by face."""
     styled = B.style_runs(blocks) if "runs" in blocks.columns else blocks
     chaptered = outline.chapters(styled, options.chapter_break_at)
     heads = outline.anchors(chaptered)
     nested = outline.nested(heads)
     documents = render.chapter_documents(render.rendered_blocks(chaptered, heads, options), options)
-    return package.packages(documents, nested, render.contents(nested), titles, options)
+    return package.packages(documents, nested, render.contents(nested), titles, options, fonts=fonts)
 
 
 def titles(book_rows: DataFrame) -> DataFrame:
