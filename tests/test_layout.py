@@ -76,6 +76,20 @@ def test_word_space_from_the_gap(spark):
     assert [r["text"] for r in got] == ["نام", " ", "دو", "،", "a b"]
 
 
+def test_styles_inside_a_segment(spark):
+    cols = "doc_id bigint, page_no int, seg_no int, loc int, x0 double, x1 double, band int, runs array<struct<text:string,size:double,font:string>>"
+    rows = [
+        (1, 0, 0, 0, 100.0, 120.0, 0, [("a", 12.0, "F"), ("b\n", 12.0, "F"), ("\nc", 12.0, "G"), ("d", 10.0, "G")]),
+        (1, 0, 1, 6, 80.0, 96.0, 0, [("x", 12.0, "F"), ("\ny", 12.0, "B"), ("\n", 12.0, None), ("z", 12.0, "B")]),
+        (1, 0, 2, 9, 10.0, 20.0, 0, [("\n", 12.0, "F")]), (1, 0, 3, 9, 10.0, 20.0, 0, [("«", 12.0, "F")]),
+    ]
+    got = G.band_spans(spark.createDataFrame(rows, cols)).orderBy("span_no").collect()
+    assert [(r["text"], r["size"], r["font"]) for r in got] == [("ab", 12.0, "F"), ("c", 12.0, "G"), ("d", 10.0, "G"), (" ", 10.0, ""), ("x ", 12.0, "F"), ("y z", 12.0, "B"), ("«", 12.0, "F")]
+    page = spark.createDataFrame([(1, 0, [("ab\n \nc", 12.0, "F"), ("d", 12.0, "F"), ("e\n", 9.0, None)])], "doc_id bigint, page_no int, runs array<struct<text:string,size:double,font:string>>")
+    assert sorted(tuple(r)[2:] for r in G.newline_spans(page).collect()) == [(0, 0, "ab", 12.0, "F"), (2, 0, "cd", 12.0, "F"), (2, 1, "e", 9.0, "")]
+    assert G.newline_spans(page.limit(0)).count() == 0
+
+
 def test_outline_parents_at_random(spark):
     rnd = random.Random(11)
     rows, want = [], {}

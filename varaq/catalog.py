@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,12 @@ from .operators import outline as O
 from .operators import package as PK
 from .operators import render as R
 from .operators import report as RP
+from .operators.layout import distinct_spans
 from .oracles import ORACLES
 from .plans import pipeline as PL
 from .session import read_table
 from .sources import readers as RD
+from .sources import sfnt as SF
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ("doc_id", "page_no", "line_no", "span_no")
@@ -157,7 +160,8 @@ def x08_interval_gaps(spark, d):
 
 @_query
 def x09_band_spans(spark, d):
-    return G.band_spans(G.bands(_segments(spark, d)))
+    """Lines of several styles, by band."""
+    return G.band_spans(G.bands(G.line_segments(read_table(spark, d, "spans"), _pages(spark, d))))
 
 
 @_query
@@ -165,6 +169,15 @@ def x10_newline_lines(spark, d):
     return G.newline_lines(read_table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
 
 
+@_query
+def x10_newline_spans(spark, d):
+    """Pages as one text, each line's spans and a line feed, cut again."""
+    s = distinct_spans(read_table(spark, d, "spans"))
+    ends = s.groupBy("doc_id", "page_no", "line_no").agg(F.max("span_no").alias("span_no")).withColumns({"text": F.lit("\n"), "size": F.lit(0.0), "font": F.lit("")})
+    rows = s.select("doc_id", "page_no", "line_no", "span_no", F.lit(0).alias("k"), "text", "size", "font").unionByName(ends.withColumn("k", F.lit(1)))
+    return G.newline_spans(rows.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "span_no", "k", "text", "size", "font"))).alias("runs")))
+
+
 @_query
 def x12_baseline_ids(spark, d):
     return G.baseline_ids(_lines(spark, d))
@@ -239,6 +252,11 @@ def a07_run_stats(spark, d):
     return B.run_stats(_classified(spark, d))
 
 
+@_query
+def a07_without_notes(spark, d):
+    return B.run_stats(_classified(spark, d), keep_notes=False)
+
+
 @_query
 def w05_block_numbers(spark, d):
     return B.assigned(_classified(spark, d)).select(*L.LINE, F.col("block_no").cast("int").alias("block_no"), "kind", "indent", "space")
@@ -274,7 +292,8 @@ def a06_block_counts(spark, d):
 
 @_query
 def a08_report(spark, d):
-    out = RP.conversion_report(read_table(spark, d, "books"), L.page_facts(_lines(spark, d), _pages(spark, d)), _stored(spark, d), font="Nastaran", font_open=False)
+    spans = read_table(spark, d, "spans").withColumn("text", _swapped(F.col("text")))
+    out = RP.conversion_report(read_table(spark, d, "books"), L.page_facts(_lines(spark, d), _pages(spark, d)), _stored(spark, d), PL.repairs(spans), "Nastaran", False, "both")
     return out.withColumns({"counts": F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","), "warnings": F.array_join("warnings", "; ")})
 
 
@@ -288,6 +307,37 @@ def a09_font_families(spark, d):
     return FT.families(read_table(spark, d, "fonts"))
 
 
+def _font_faces(spark: SparkSession, d: str) -> DataFrame:
+    """Files made from the font table, as many Arabic characters in each as its coverage says, read by their bytes."""
+
+    def files(batches):
+        points = [c for a, b in SF.ARABIC_RANGES for c in range(a, b + 1)]
+        for pdf in batches:
+            made = []
+            for family, licence, n in zip(pdf["family"], pdf["license_text"], pdf["coverage"]):
+                records = ([(1, family)] if family else []) + ([(13, licence)] if licence else [])
+                made.append(SF.written(points[:n] + [0x200C] * (n % 3 == 0), records, ("init", "fina") if n % 4 else ()))
+            yield pd.DataFrame({"path": pdf["path"], "content": made})
+
+    table = read_table(spark, d, "fonts").where("coverage is not null").select("path", "family", "license_text", "coverage").distinct()
+    return SF.font_faces(table.mapInPandas(files, "path string, content binary"))
+
+
+@_query
+def a10_font_faces(spark, d):
+    return _font_faces(spark, d).select("path", "face_no", "family", "coverage", "probe", "core", "persian_only", "zwnj", "presentation_forms", "features", "license_text", "units")
+
+
+@_query
+def a11_font_table(spark, d):
+    return SF.font_table(_font_faces(spark, d))
+
+
+@_query
+def a12_font_audit(spark, d):
+    return SF.audited(_font_faces(spark, d)).select("path", "face_no", "verdict")
+
+
 @_query
 def pred_redistributable(spark, d):
     f = read_table(spark, d, "fonts").distinct()

@@ -92,7 +92,10 @@ def block_counts(blocks_: DataFrame) -> DataFrame:
     return blocks_.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-def run_stats(classified_: DataFrame) -> DataFrame:
-    """Lines dropped as running heads, folios and, where notes are not kept, notes."""
+def run_stats(classified_: DataFrame, keep_notes: bool = True) -> DataFrame:
+    """doc_id, dropped_running, dropped_folio, dropped_notes (none where notes are kept), blocks, and the blocks of each kind."""
     n = lambda c: F.count_if(F.col("class") == c)
-    return classified_.groupBy("doc_id").agg(n("running").alias("dropped_running"), n("folio").alias("dropped_folio"), n("note").alias("notes"), n("heading").alias("headings"))
+    dropped = classified_.groupBy("doc_id").agg(n("running").alias("dropped_running"), n("folio").alias("dropped_folio"), (F.lit(0).cast("bigint") if keep_notes else n("note")).alias("dropped_notes"))
+    firsts = assigned(classified_, keep_notes).groupBy("doc_id", "block_no").agg(F.min("kind").alias("kind"))
+    kinds = firsts.groupBy("doc_id").agg(F.count("*").alias("blocks"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("h1", "h2", "h3", "p", "note")))
+    return dropped.join(kinds, "doc_id", "left").na.fill(0, ["blocks", "h1", "h2", "h3", "p", "note"])

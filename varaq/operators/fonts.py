@@ -67,14 +67,18 @@ def families(fonts: DataFrame) -> DataFrame:
 
 
 def pick(choices: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Each distinct `wanted` with the family chosen: by name, by part of the name, else the first; null if there is none."""
-    want = F.lower(F.trim("wanted"))
-    name = F.lower(F.trim("family"))
-    how = F.when(F.coalesce(want, F.lit("")) == "", 2).when(name == want, 0).when(F.contains(name, want), 1).otherwise(2)
-    # families are a list for people, so it goes to every task
-    both = wanted.select("wanted").distinct().join(F.broadcast(choices.select("family", "rank")), F.lit(True), "left").withColumn("how", how)
-    order = Window.partitionBy("wanted").orderBy("how", "rank")
-    return both.withColumn("n", F.row_number().over(order)).where("n = 1").select("wanted", "family")
+    """Each distinct `wanted` with the family chosen: by name, by part of the name, else the first; null if there is none.
+
+    A name that holds the wanted one holds its first three letters, so the families meet by their short substrings.
+    """
+    named = choices.select("family", "rank", F.lower(F.trim("family")).alias("name"))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name") - n + 1)), lambda i: F.substring(F.col("name"), i, n))))
+    keyed = named.select("family", "rank", "name", F.explode(F.array_distinct(pieces)).alias("key"))
+    names = wanted.select("wanted").distinct().withColumn("w", F.lower(F.trim("wanted")))
+    hits = names.where("w <> ''").withColumn("key", F.left("w", F.lit(3))).join(keyed, "key").where(F.contains("name", F.col("w")))
+    best = hits.groupBy("wanted").agg(F.min_by("family", F.struct(F.col("name") != F.col("w"), "rank")).alias("found"))
+    first = choices.agg(F.min_by("family", "rank").alias("first"))  # one row
+    return names.join(best, "wanted", "left").crossJoin(F.broadcast(first)).select("wanted", F.coalesce("found", "first").alias("family"))
 
 
 def face_files(choices: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from ..functions import text as T
 from .layout import document_facts
 
 
-def conversion_report(books: DataFrame, page_facts: DataFrame, blocks: DataFrame, repairs: DataFrame | None = None, font: str | None = None, font_open: bool = True) -> DataFrame:
+def conversion_report(books: DataFrame, page_facts: DataFrame, blocks: DataFrame, repairs: DataFrame | None = None, font: str | None = None, font_open: bool = True, output: str = "epub", requested: str | None = None) -> DataFrame:
     """doc_id, title, author, pages_read, pages_total, scanned_pages, blocks, headings, counts, warnings, primary_path.
 
-    Books come once each, with their latest load. repairs: doc_id, brackets_repaired (true sums over the spans).
+    Books come once each, with their latest load. repairs: doc_id, brackets_repaired (true sums over the spans). primary_path is
+    the file that the route makes, the second format before the first.
     """
     latest = books.groupBy("doc_id").agg(F.max_by(F.struct("path", "title", "author", "total_pages"), F.struct("loaded_at", "path", "title", "author")).alias("b"))
     named = latest.select("doc_id", "b.*").withColumn("ta", T.title_author(F.col("title"), F.col("author"), F.col("path")))
@@ -28,8 +31,8 @@ def conversion_report(books: DataFrame, page_facts: DataFrame, blocks: DataFrame
         F.when(n("brackets_repaired") > 0, F.concat(F.col("brackets_repaired"), F.lit(" brackets were repaired"))),
     ), lambda w: w.isNotNull())
     counts = F.map_from_arrays(F.array(*map(F.lit, ("h1", "h2", "h3", "note", "p"))), F.array(*(n(k).cast("bigint") for k in ("h1", "h2", "h3", "note", "p"))))
-    stem = F.regexp_replace(F.regexp_replace("path", "^.*/", ""), "(?<=.)\\.[^.]+$", "")
-    return rows.select("doc_id", "ta.title", "ta.author", n("pages").alias("pages_read"), n("total_pages").alias("pages_total"), n("scanned_pages").alias("scanned_pages"), n("blocks").alias("blocks"), n("headings").alias("headings"), counts.alias("counts"), warnings.alias("warnings"), F.concat(stem, F.lit(".epub")).alias("primary_path"))
+    epub, mobi = _route(output, requested)
+    return rows.select("doc_id", "ta.title", "ta.author", n("pages").alias("pages_read"), n("total_pages").alias("pages_total"), n("scanned_pages").alias("scanned_pages"), n("blocks").alias("blocks"), n("headings").alias("headings"), counts.alias("counts"), warnings.alias("warnings"), F.coalesce(mobi, epub).alias("primary_path"))
 
 
 OUTPUTS = ("epub", "mobi", "both")
@@ -37,20 +40,20 @@ OUTPUTS = ("epub", "mobi", "both")
 
 def routed(paths: DataFrame, output: str, requested: str | None = None) -> DataFrame:
     """path with epub_path and mobi_path (null if not made): a `converted` folder beside the source unless a path is requested."""
+    epub, mobi = _route(output, requested)
+    return paths.select("path", epub.alias("epub_path"), mobi.alias("mobi_path"))
+
+
+def _route(output: str, requested: str | None) -> tuple[F.Column, F.Column]:
+    """The two paths of each `path`."""
     kind = output.strip().lower()
     if kind not in OUTPUTS:
         raise ValueError(f"unknown output format: {output}")
     folder = F.concat(F.regexp_extract("path", "^(.*/)?[^/]*$", 1), F.lit("converted/"))
     stem = F.regexp_replace(F.regexp_replace("path", "^.*/", ""), "(?<=.)\\.[^.]+$", "")
-    base, dot, suffix = (requested.rpartition(".") if requested and "." in requested.rsplit("/", 1)[-1] else (requested or "", "", ""))
+    beside = lambda suffix: F.concat(folder, stem, F.lit(suffix))
     none = F.lit(None).cast("string")
-    if kind == "epub":
-        epub, mobi = (F.lit(requested) if requested else F.concat(folder, stem, F.lit(".epub"))), none
-    elif kind == "mobi":
-        epub, mobi = none, F.lit(f"{base}.mobi") if requested else F.concat(folder, stem, F.lit(".mobi"))
-    elif requested is None:
-        epub, mobi = F.concat(folder, stem, F.lit(".epub")), F.concat(folder, stem, F.lit(".mobi"))
-    else:
-        epub = F.lit(f"{base}.epub" if suffix.lower() == "mobi" or not suffix else requested)
-        mobi = F.lit(f"{base}.mobi")
-    return paths.select("path", epub.alias("epub_path"), mobi.alias("mobi_path"))
+    base, suffix = re.fullmatch(r"(.*?[^/])(\.[^./]*)?", requested).groups() if requested else ("", None)
+    wanted = {".epub": F.lit(requested if suffix and suffix.lower() != ".mobi" else f"{base}.epub"), ".mobi": F.lit(requested if suffix and suffix.lower() == ".mobi" else f"{base}.mobi")}
+    path = lambda suffix: wanted[suffix] if requested else beside(suffix)
+    return (none if kind == "mobi" else F.lit(requested) if requested and kind == "epub" else path(".epub")), (none if kind == "epub" else path(".mobi"))

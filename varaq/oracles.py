@@ -312,7 +312,11 @@ ORACLES = {
     "a04_page_leading": f"WITH {_LINES}, {_BODY}, {_LEADING} SELECT * FROM mg",
     "a05_right_edge": f"WITH {_LINES}, {_BODY}, {_LEADING} SELECT * FROM re",
     "line_classes": _ALL + " SELECT doc_id, page_no, line_no, class, level FROM lv",
-    "a07_run_stats": _ALL + " SELECT doc_id, count(*) FILTER (class = 'running') AS dropped_running, count(*) FILTER (class = 'folio') AS dropped_folio, count(*) FILTER (class = 'note') AS notes, count(*) FILTER (class = 'heading') AS headings FROM lv GROUP BY doc_id",
+    **{name: f"""{_ALL}, {_block_rules(keep)},
+        kb AS (SELECT doc_id, block_no, any_value(kind) AS kind FROM num {'' if keep else "WHERE class <> 'note'"} GROUP BY ALL),
+        kc AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (kind = 'h1') AS h1, count(*) FILTER (kind = 'h2') AS h2, count(*) FILTER (kind = 'h3') AS h3, count(*) FILTER (kind = 'p') AS p, count(*) FILTER (kind = 'note') AS note FROM kb GROUP BY ALL),
+        dr AS (SELECT doc_id, count(*) FILTER (class = 'running') AS dropped_running, count(*) FILTER (class = 'folio') AS dropped_folio, {'0::BIGINT' if keep else "count(*) FILTER (class = 'note')"} AS dropped_notes FROM lv GROUP BY doc_id)
+        SELECT dr.*, coalesce(blocks, 0) AS blocks, coalesce(h1, 0) AS h1, coalesce(h2, 0) AS h2, coalesce(h3, 0) AS h3, coalesce(p, 0) AS p, coalesce(note, 0) AS note FROM dr LEFT JOIN kc USING (doc_id)""" for name, keep in (("a07_run_stats", True), ("a07_without_notes", False))},
     "w05_block_numbers": f"{_ALL}, {_block_rules(True)} SELECT doc_id, page_no, line_no, block_no, kind, indent, space FROM num",
     "w05_without_notes": f"{_ALL}, {_block_rules(False)} SELECT doc_id, page_no, line_no, block_no, kind FROM num WHERE class <> 'note'",
     "blocks": f"""{_ALL}, {_block_rules(True)},
@@ -320,13 +324,13 @@ ORACLES = {
         txt AS (SELECT doc_id, block_no, {_strip("regexp_replace(string_agg(text, ' ' ORDER BY page_no, line_no), " + _s(WS + '+') + ", ' ', 'g')")} AS text FROM num GROUP BY ALL)
         SELECT doc_id, block_no, kind, level, page_no, text, CASE WHEN kind = 'p' THEN indent END AS first_line_indent_em, CASE WHEN kind = 'p' THEN space END AS space_before_em FROM frs JOIN txt USING (doc_id, block_no)""",
     "a06_block_counts": "SELECT doc_id, kind, count(*) AS n FROM (SELECT DISTINCT doc_id, block_no, kind, level, page_no, text, first_line_indent_em, space_before_em FROM blocks) GROUP BY ALL",
-    "a08_report": f"""WITH {_LINES}, {_BOOKS}, pf AS (SELECT doc_id, page_no, coalesce(sum(chars), 0) < 40 AS scanned FROM pg LEFT JOIN ln USING (doc_id, page_no) GROUP BY ALL),
+    "a08_report": f"""WITH {_LINES}, {_BOOKS}, {_NORMAL.replace("text FROM spans WHERE", "translate(text, '()[]', ')(][') AS text FROM spans WHERE")}, br AS (SELECT doc_id, sum(brackets_repaired)::BIGINT AS brackets FROM normal GROUP BY doc_id), pf AS (SELECT doc_id, page_no, coalesce(sum(chars), 0) < 40 AS scanned FROM pg LEFT JOIN ln USING (doc_id, page_no) GROUP BY ALL),
         df AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (scanned) AS scanned_pages FROM pf GROUP BY ALL),
         kd AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (kind IN ('h1', 'h2', 'h3')) AS headings, 'h1=' || count(*) FILTER (kind = 'h1') || ',h2=' || count(*) FILTER (kind = 'h2') || ',h3=' || count(*) FILTER (kind = 'h3') || ',note=' || count(*) FILTER (kind = 'note') || ',p=' || count(*) FILTER (kind = 'p') AS counts
                FROM (SELECT DISTINCT doc_id, block_no, kind, level, page_no, text, first_line_indent_em, space_before_em FROM blocks) GROUP BY ALL)
         SELECT doc_id, {_T} AS title, {_A} AS author, coalesce(pages, 0) AS pages_read, coalesce(total_pages, 0) AS pages_total, coalesce(scanned_pages, 0) AS scanned_pages, coalesce(blocks, 0) AS blocks, coalesce(headings, 0) AS headings, coalesce(counts, 'h1=0,h2=0,h3=0,note=0,p=0') AS counts,
-          concat_ws('; ', CASE WHEN scanned_pages > 0 THEN scanned_pages || ' pages have no text layer' END, 'the licence of Nastaran is unknown') AS warnings, regexp_replace(regexp_replace(path, '^.*/', ''), '^(.+)\\.[^.]+$', '\\1') || '.epub' AS primary_path
-        FROM latest LEFT JOIN df USING (doc_id) LEFT JOIN kd USING (doc_id)""",
+          concat_ws('; ', CASE WHEN scanned_pages > 0 THEN scanned_pages || ' pages have no text layer' END, 'the licence of Nastaran is unknown', CASE WHEN brackets > 0 THEN brackets || ' brackets were repaired' END) AS warnings, regexp_extract(path, '^(.*/)?[^/]*$', 1) || 'converted/' || regexp_replace(regexp_replace(path, '^.*/', ''), '^(.+)\\.[^.]+$', '\\1') || '.mobi' AS primary_path
+        FROM latest LEFT JOIN df USING (doc_id) LEFT JOIN kd USING (doc_id) LEFT JOIN br USING (doc_id)""",
     "a08_routes": "SELECT DISTINCT path, regexp_extract(path, '^(.*/)?[^/]*$', 1) || 'converted/' || regexp_replace(regexp_replace(path, '^.*/', ''), '^(.+)\\.[^.]+$', '\\1') || '.epub' AS epub_path, regexp_extract(path, '^(.*/)?[^/]*$', 1) || 'converted/' || regexp_replace(regexp_replace(path, '^.*/', ''), '^(.+)\\.[^.]+$', '\\1') || '.mobi' AS mobi_path FROM books",
     "a09_font_families": f"WITH RECURSIVE {_FONTS} SELECT * FROM families",
     "pred_redistributable": f"SELECT DISTINCT path, coverage % 3 = 0 OR len(list_filter([{', '.join(map(_s, FT.OPEN_LICENCES))}], lambda m: contains(lower(coalesce(license_text, '')), m))) > 0 AS open FROM fonts",
@@ -369,12 +373,28 @@ ORACLES |= {
     "r04_contents": f"""WITH RECURSIVE {_STORED}, {_CHAPTERS}, {_NEST.format(t='ol')},
         nd AS (SELECT ol.doc_id, ol.entry_no, title, chapter, anchor, depth, coalesce(lead(depth) OVER (PARTITION BY ol.doc_id ORDER BY ol.entry_no), 0) AS nxt FROM ol JOIN dp ON dp.doc_id = ol.doc_id AND dp.entry_no = ol.entry_no)
         SELECT doc_id, '<ol>' || string_agg('<li><a href="' || printf('text/ch%03d.xhtml', chapter) || '#' || anchor || '">' || {_esc('title')} || '</a>' || CASE WHEN nxt > depth THEN '<ol>' ELSE '</li>' || repeat('</ol></li>', depth - nxt) END, '' ORDER BY entry_no) || '</ol>' AS toc FROM nd GROUP BY doc_id""",
-    "x09_band_spans": _BANDS + f""",
-        tx AS (SELECT doc_id, page_no, band, loc, seg_no, replace(regexp_replace(regexp_replace(text, '(\\S)\\n(\\S)', '\\1 \\2', 'g'), '(\\S)\\n(\\S)', '\\1 \\2', 'g'), chr(10), '') AS text, size, coalesce(font, '') AS font, x0, x1 FROM fold JOIN sg USING (doc_id, page_no, seg_no)),
-        pv AS (SELECT *, lag(text) OVER w AS pt, lag(size) OVER w AS ps, lag(x0) OVER w AS p0, lag(x1) OVER w AS p1 FROM tx WHERE text <> '' WINDOW w AS (PARTITION BY doc_id, page_no, band ORDER BY loc, seg_no)),
-        gp AS (SELECT *, coalesce(greatest(0.0, greatest(p0, x0) - least(p1, x1)) > greatest(2.5, ps * 0.2) AND NOT regexp_full_match(pt[-1], {_s('[' + WS[1:-1] + '«»()' + chr(92) + '[' + chr(92) + ']{}.,،؛؟!:;…ً-ٰٕ]')}) AND NOT regexp_full_match(text[1], {_s('[' + WS[1:-1] + '«»()' + chr(92) + '[' + chr(92) + ']{}.,،؛؟!:;…ً-ٰٕ]')}), false) AS space FROM pv),
-        al AS (SELECT doc_id, page_no, band, loc, seg_no, 1 AS k, text, size, font FROM gp UNION ALL SELECT doc_id, page_no, band, loc, seg_no, 0, ' ', ps, '' FROM gp WHERE space)
-        SELECT doc_id, page_no, band, (row_number() OVER (PARTITION BY doc_id, page_no, band ORDER BY loc, seg_no, k) - 1)::INTEGER AS span_no, text, size, font FROM al""",
+}
+_LINE_BANDS = f"""WITH RECURSIVE {_LINES},
+    lg AS (SELECT doc_id, page_no, line_no, sum(length(text)) AS len, min(x0) AS x0, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom FROM sp WHERE text <> '' GROUP BY ALL),
+    sg AS (SELECT doc_id, page_no, line_no, (row_number() OVER w - 1)::INTEGER AS seg_no, coalesce(sum(len) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS loc, x0, x1, height - bottom AS y0, height - top AS y1
+           FROM lg JOIN pg USING (doc_id, page_no) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no))""" + _BANDS[len(_SEGMENTS):]
+#: Spans of equal size and font that follow each other in a line, as one.
+_ISLANDS = """
+    ir AS (SELECT *, CASE WHEN lag(span_no) OVER w IS NOT NULL AND lag(size) OVER w IS NOT DISTINCT FROM size AND coalesce(lag(font) OVER w, '') = coalesce(font, '') THEN 0 ELSE 1 END AS fresh FROM sp WHERE text <> '' WINDOW w AS (PARTITION BY doc_id, page_no, line_no ORDER BY span_no)),
+    ii AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page_no, line_no ORDER BY span_no ROWS UNBOUNDED PRECEDING) AS isl FROM ir),
+    im AS (SELECT doc_id, page_no, line_no, isl, string_agg(text, '' ORDER BY span_no) AS text, any_value(size) AS size, coalesce(any_value(font), '') AS font FROM ii GROUP BY doc_id, page_no, line_no, isl)"""
+ORACLES |= {
+    "x09_band_spans": _LINE_BANDS + f""", {_ISLANDS},
+        ed AS (SELECT doc_id, page_no, line_no, arg_min(text, isl)[1] AS head, arg_max(text, isl)[-1] AS tail, arg_max(size, isl) AS last FROM im GROUP BY ALL),
+        tx AS (SELECT fold.doc_id, fold.page_no, band, loc, seg_no, line_no, x0, x1, head, tail, last FROM fold JOIN sg USING (doc_id, page_no, seg_no) JOIN ed USING (doc_id, page_no, line_no)),
+        pv AS (SELECT *, lag(tail) OVER w AS pt, lag(last) OVER w AS ps, lag(x0) OVER w AS p0, lag(x1) OVER w AS p1 FROM tx WINDOW w AS (PARTITION BY doc_id, page_no, band ORDER BY loc, seg_no)),
+        gp AS (SELECT *, coalesce(greatest(0.0, greatest(p0, x0) - least(p1, x1)) > greatest(2.5, ps * 0.2) AND NOT regexp_full_match(pt, WSP) AND NOT regexp_full_match(head, WSP), false) AS space FROM pv),
+        al AS (SELECT gp.doc_id, gp.page_no, band, loc, seg_no, isl AS k, text, size, font FROM gp JOIN im USING (doc_id, page_no, line_no) UNION ALL SELECT doc_id, page_no, band, loc, seg_no, 0, ' ', ps, '' FROM gp WHERE space)
+        SELECT doc_id, page_no, band, (row_number() OVER (PARTITION BY doc_id, page_no, band ORDER BY loc, seg_no, k) - 1)::INTEGER AS span_no, text, size, font FROM al""".replace("WSP", _s("[" + WS[1:-1] + "«»()" + chr(92) + "[" + chr(92) + "]{}.,،؛؟!:;…ً-ٰٕ]")),
+    "x10_newline_spans": f"""WITH {_LINES}, {_ISLANDS},
+        wh AS (SELECT doc_id, page_no, line_no FROM sp GROUP BY ALL HAVING NOT regexp_full_match(string_agg(text, '' ORDER BY span_no), {_s(WS + '*')})),
+        nr AS (SELECT doc_id, page_no, line_no, (dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1)::INTEGER AS n FROM (SELECT DISTINCT doc_id, page_no, line_no FROM sp))
+        SELECT im.doc_id, im.page_no, n AS line_no, (isl - 1)::INTEGER AS span_no, text, coalesce(size, 0.0) AS size, font FROM im JOIN wh USING (doc_id, page_no, line_no) JOIN nr USING (doc_id, page_no, line_no)""",
 }
 _RAW_SPANS = "SELECT DISTINCT doc_id, page_no, line_no, span_no, coalesce(text, '') AS text, size, font, x0, top, x1, bottom FROM spans"
 _REPAIRED = f"SELECT DISTINCT s.doc_id, s.page_no, s.line_no, s.span_no, coalesce(n.text, '') AS text, size, font, x0, top, x1, bottom FROM spans s LEFT JOIN normal n USING ({_K})"
@@ -433,3 +453,18 @@ ORACLES["s08_packages"] = f"""WITH RECURSIVE {_STORED}, {_CHAPTERS}, {_MARKUP},
                UNION ALL SELECT doc_id, 8, 0, 'OEBPS/content.opf', {_s(_DECLARED + '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="bookid" xml:lang="fa-IR"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="bookid">')} || ident || '</dc:identifier><dc:title>' || {_NAME}
                    || '</dc:title><dc:language>fa-IR</dc:language>' || coalesce('<dc:creator>' || {_esc('author')} || '</dc:creator>', '') || '<meta property="dcterms:modified">2000-01-01T00:00:00Z</meta></metadata><manifest>' || items || '</manifest><spine toc="' || ncx || '" page-progression-direction="rtl">' || refs || '</spine></package>' || chr(10) FROM idn JOIN mf USING (doc_id))
         SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g, nr) - 1)::INTEGER AS position, name, CASE WHEN name = 'mimetype' THEN 'stored' ELSE 'deflated' END AS method, content FROM al"""
+
+_PROBE, _CORE_LETTERS, _OWN = "پچژگکیۃ۰۱۲۳۴۵۶۷۸۹", "ابتنم", "پچژکگی۰"
+_FACES = f"""
+    cps AS (SELECT cp, row_number() OVER () AS n FROM (SELECT cp FROM (SELECT unnest(generate_series(1536, 1791) || generate_series(1872, 1919) || generate_series(64336, 65023) || generate_series(65136, 65279)) AS cp) ORDER BY cp)),
+    ft AS (SELECT DISTINCT path, family, license_text, coverage FROM fonts WHERE coverage IS NOT NULL),
+    fc AS (SELECT path, 0 AS face_no, CASE WHEN coalesce(family, '') <> '' THEN family ELSE regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', '') END AS family,
+             count(cp)::INTEGER AS coverage, {', '.join(f"count(*) FILTER (contains('{letters}', chr(cp::INTEGER)))::INTEGER AS {name}" for name, letters in (("probe", _PROBE), ("core", _CORE_LETTERS), ("persian_only", _OWN)))},
+             any_value(ft.coverage) % 3 = 0 AS zwnj, count(*) FILTER (cp >= 64336)::INTEGER AS presentation_forms, CASE WHEN any_value(ft.coverage) % 4 <> 0 THEN 'fina,init' ELSE '' END AS features, nullif(any_value(license_text), '') AS license_text, 1000 AS units
+           FROM ft LEFT JOIN cps ON n <= ft.coverage GROUP BY path, family, license_text, ft.coverage)"""
+ORACLES |= {
+    "a10_font_faces": f"WITH {_FACES} SELECT * FROM fc",
+    "a11_font_table": f"WITH {_FACES} SELECT path, family, coverage, probe, license_text FROM fc",
+    "a12_font_audit": f"""WITH {_FACES} SELECT path, face_no, CASE WHEN presentation_forms > 40 AND features = '' THEN 'LEGACY' WHEN features <> '' AND persian_only >= 5 AND zwnj THEN 'GOOD' WHEN features <> '' AND persian_only >= 5 THEN 'GOOD*'
+        WHEN features <> '' THEN 'ARABIC' ELSE 'BROKEN' END AS verdict FROM fc WHERE core > 0 OR persian_only > 0""",
+}

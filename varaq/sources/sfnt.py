@@ -120,6 +120,23 @@ def font_faces(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(work, FACES)
 
 
+def written(points: list[int], records: list[tuple[int, str]], tags: tuple[str, ...] = ()) -> bytes:
+    """The smallest file that these readers take for a font: characters, name records and feature tags, without outlines. For fixtures."""
+    chars = sorted(points)
+    groups = [(a, i) for i, a in enumerate(chars, 1)]
+    cmap = struct.pack(">HHHHIHHIII", 0, 1, 3, 10, 12, 12, 0, 16 + 12 * len(groups), 0, len(groups)) + b"".join(struct.pack(">III", a, a, g) for a, g in groups)
+    texts = [(ident, text.encode("utf-16-be")) for ident, text in records]
+    starts = [sum(len(t) for _, t in texts[:i]) for i in range(len(texts))]
+    name = struct.pack(">HHH", 0, len(texts), 6 + 12 * len(texts)) + b"".join(struct.pack(">6H", 3, 1, 0x409, k, len(t), at) for (k, t), at in zip(texts, starts)) + b"".join(t for _, t in texts)
+    gsub = struct.pack(">6H", 1, 0, 0, 10, 0, len(tags)) + b"".join(t.encode() + b"\0\0" for t in tags)
+    tables = {"GSUB": gsub, "cmap": cmap, "head": bytes(18) + struct.pack(">H", 1000) + bytes(34), "name": name}
+    out, at = b"\0\1\0\0" + struct.pack(">4H", len(tables), 0, 0, 0), 12 + 16 * len(tables)
+    for tag, data in tables.items():
+        out += struct.pack(">4sIII", tag.encode(), 0, at, len(data))
+        at += len(data)
+    return out + b"".join(tables.values())
+
+
 def font_table(faces_: DataFrame) -> DataFrame:
     """path, family, coverage, probe, license_text: the face of each file with the most probe letters, then the widest."""
     best = faces_.groupBy("path").agg(F.max_by(F.struct("coverage", "probe"), F.struct("probe", "coverage")).alias("b"), F.min_by("family", F.coalesce("face_no", F.lit(0))).alias("family"), F.array_join(F.collect_list("license_text"), " ").alias("licence"), F.count("license_text").alias("known"), F.count("*").alias("n"))
