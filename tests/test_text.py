@@ -39,6 +39,29 @@ def test_rules(spark, rule, given, expected):
     assert applied(spark, rule, [given, None, ""]) == [expected, None, ""]
 
 
+#: (given, expected of a whole line): what the chain of all rules has to give.
+WHOLE = [
+    ("يك", "یک"), ("مدينه", "مدینه"), ("١٢٣٤", "۱۲۳۴"), ("ﻻ", "لا"), ("ﻲ", "ی"), ("ﬁ", "ﬁ"), ("abc\u200fdef", "abcdef"), ("a\u202ab\u202c", "ab"), ("می\u200cرود", "می\u200cرود"),
+    ("ســـلام", "سلام"), ("a\u00a0b", "a b"), ("a   b\n\n\n\nc", "a b\n\nc"), ("می\u200c\u200cرود", "می\u200cرود"), ("می \u200cرود", "می رود"), ("کتاب\u200c،", "کتاب،"),
+    ("میروم", "می\u200cروم"), ("نمیخواهم", "نمی\u200cخواهم"), ("میان", "میان"), ("میز", "میز"), (")1882(", "(1882)"), ("(1882)", "(1882)"), ("]12[", "[12]"), (")", ")"),
+    ("گفت (به نظر من) خوب", "گفت (به نظر من) خوب"), ("دشمن ِمردم", "دشمنِ مردم"), ("دشمن ِِ مردم", "دشمنِ مردم"), ("دشمن ِ ِمردم ِ", "دشمنِ مردمِ"), ("Madjid Omraniِِِ", "Madjid Omrani"),
+    ("میرومِ", "می\u200cرومِ"), ("مدّرس", "مدّرس"), (" a ", "a"), ("a, b?", "a, b?"), ("1400", "1400"),
+]
+PIECES = [("هنریک ", "هنریک "), (" ایبسن", " ایبسن"), (" ", " "), ("a   b", "a b"), (" a  b ", " a b ")]
+
+
+def test_the_whole_chain(spark):
+    lines = spark.createDataFrame([(i, g) for i, (g, _) in enumerate(WHOLE)], "i int, text string")
+    got = [r["text"] for r in T.normalized(lines).orderBy("i").collect()]
+    assert got == [e for _, e in WHOLE]
+    pieces = spark.createDataFrame([(i, g) for i, (g, _) in enumerate(PIECES)], "i int, text string")
+    assert [r["text"] for r in T.normalized(pieces, "text", T.NormalizeOptions(whole_lines=False)).orderBy("i").collect()] == [e for _, e in PIECES]
+    asked = spark.createDataFrame([(0, "a, b?"), (1, "1400")], "i int, text string")
+    assert [r["text"] for r in T.normalized(asked, "text", T.NormalizeOptions(typography=True, ascii_digits=True)).orderBy("i").collect()] == ["a، b؟", "۱۴۰۰"]
+    counted = T.normalized(spark.createDataFrame([(0, "می‌گفت )1369("), (1, "Omraniِِ"), (2, "میروم")], "i int, text string")).orderBy("i").collect()
+    assert (counted[0]["brackets_repaired"], counted[1]["marks_removed"], counted[2]["zwnj_added"]) == (1, 2, 1)
+
+
 def test_mirror_detection(spark):
     line = "این کتاب را از آن خانه که در شهر بود به ما داد و رفت تا با او در راه خود باشد ولی اگر هم چند روز نیز بی او بود"
     backwards = " ".join(w[::-1] for w in line.split())

@@ -20,13 +20,20 @@ MARKS = "\u064b-\u0655\u0670"
 PUNCTUATION = "«»()\\[\\]{}،؛؟!.:"
 PREFIXES = ("نمی", "می")
 PREFIX_EXCEPTIONS = (
-    "میان میز میزان میلی میلیون میلیارد مینا میرا میراث میوه میکا میکرب میکروسکوپ میگو میدان میل میله میم "
-    "مینی میهن میخ میر میزبان میکرو میانگین میانسال نمیان میزنم"
-).split()
+    "میان", "میز", "میزان", "میلی", "میلیون", "میلیارد", "مینا", "میرا", "میراث", "میوه", "میکا", "میکرب", "میکروسکوپ", "میگو", "میدان", "میل",
+    "میله", "میم", "مینی", "میهن", "میخ", "میر", "میزبان", "میکرو", "میانگین", "میانسال", "نمیان", "میزنم",
+)
 LETTERS = "ابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهیءآأإئؤة۰۱۲۳۴۵۶۷۸۹"
-FUNCTION_WORDS = "و در به از که این را با برای است یک آن تا هم بود شد بر خود او ما شما ولی اما یا اگر چون همه هر دو سه نیز بی چند روی".split()
-HEADING_WORDS = "فصل بخش گفتار دفتر پیشگفتار پیش‌گفتار مقدمه دیباچه ضمیمه کتابنامه منابع نمایه پیوست نتیجه".split()
-EDITION_WORDS = "نسخه نسخهٔ ویرایش چاپ".split()
+FUNCTION_WORDS = (
+    "و", "در", "به", "از", "که", "این", "را", "با", "برای", "است", "یک", "آن", "تا", "هم", "بود", "شد", "بر", "خود", "او", "ما", "شما", "ولی", "اما",
+    "یا", "اگر", "چون", "همه", "هر", "دو", "سه", "نیز", "بی", "چند", "روی",
+)
+HEADING_WORDS = (
+    "فصل", "بخش", "گفتار", "دفتر", "پیشگفتار", "پیش\u200cگفتار", "مقدمه", "دیباچه", "ضمیمه", "کتابنامه", "منابع", "نمایه", "پیوست", "نتیجه",
+)
+EDITION_WORDS = (
+    "نسخه", "نسخهٔ", "ویرایش", "چاپ",
+)
 PRESENTATION_RANGES = ((0xFB50, 0xFDFF), (0xFE70, 0xFEFF))
 _HOLD = "\ue000"  # stands for "keep this mark"; private-use text never gets this far (see has_private_use)
 
@@ -138,7 +145,7 @@ def split_prefixes(text: Column) -> Column:
 
     def one(token: Column) -> Column:
         core = F.regexp_replace(token, f"^[{PUNCTUATION}]+|[{PUNCTUATION}]+$", "")
-        glued = core.rlike(f"^(?:{'|'.join(PREFIXES)})[{LETTERS}][\\s\\S]") & ~F.contains(core, F.lit(ZWNJ)) & ~core.isin(PREFIX_EXCEPTIONS)
+        glued = core.rlike(f"^(?:{'|'.join(PREFIXES)})[{LETTERS}][\\s\\S]") & ~F.contains(core, F.lit(ZWNJ)) & ~core.isin(*PREFIX_EXCEPTIONS)
         return F.when(glued, F.regexp_replace(token, f"^([{PUNCTUATION}]*)({'|'.join(PREFIXES)})", f"$1$2{ZWNJ}")).otherwise(token)
 
     return F.array_join(F.transform(F.split(text, " ", -1), one), " ")

@@ -4,8 +4,47 @@ from __future__ import annotations
 
 import unicodedata
 
-from .functions import text as T
-from .operators import fonts as FT
+# Fixed values, written out for these checks: characters, words, names and patterns that the rules are about.
+_BOLD_FILE = "(?i)(^|[^a-z])(bd|bold|black|heavy|semibold|demibold)([^a-z]|$)"
+_ITALIC_FILE = "(?i)(italic|oblique|it([^A-Za-z0-9_]|$))"
+_NOT_REGULAR = "(?i)(light|thin|ultra|black|medium|heavy|semi|demi|bd|bold)"
+_OPEN_LICENCES = (
+    "sil open font license", "open font license", "scripts.sil.org/ofl", "openfontlicense", "apache license, version 2.0",
+    "apache.org/licenses/license-2.0",
+)
+_PREFERRED = (
+    "vazirmatn", "vazir", "iransans", "iranyekan", "yekan bakh", "sahel", "shabnam", "samim", "tanha", "gandom", "parastoo", "estedad", "dana",
+    "peyda", "morabba", "mikhak", "shahab", "bnazanin", "inazanin", "nazanin", "bmitra", "imitra", "mitra", "btitr", "titr", "amiri",
+    "noto naskh arabic", "noto sans arabic", "scheherazade", "markazi text", "kalameh", "dubai",
+)
+_ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
+_ASCII_DIGITS = "0123456789"
+_BIDI_CONTROLS = '\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069\ufeff'
+_EDITION_WORDS = ("نسخه", "نسخهٔ", "ویرایش", "چاپ")
+_FOLD_FROM = "يىكةۀے"
+_FOLD_TO = "ییکههی"
+_FOLIO = "^[۰-۹0-9]{1,4}$"
+_FUNCTION_WORDS = (
+    "و", "در", "به", "از", "که", "این", "را", "با", "برای", "است", "یک", "آن", "تا", "هم", "بود", "شد", "بر", "خود", "او", "ما", "شما", "ولی", "اما",
+    "یا", "اگر", "چون", "همه", "هر", "دو", "سه", "نیز", "بی", "چند", "روی",
+)
+_HEADING_WORDS = ("فصل", "بخش", "گفتار", "دفتر", "پیشگفتار", "پیش\u200cگفتار", "مقدمه", "دیباچه", "ضمیمه", "کتابنامه", "منابع", "نمایه", "پیوست", "نتیجه")
+_HEADINGS = (
+    "^(?:" + "|".join(_HEADING_WORDS) + ")([^\\p{L}\\p{N}_]|$)", "^[۰-۹0-9]+[.\u200c\\-–][\\s\\p{Z}]*[^۰-۹0-9]", "^[۰-۹0-9]+([.][۰-۹0-9]+)+[\\s\\p{Z}]",
+    "^[۰-۹0-9]+[)][\\s\\p{Z}]", "^[IVXLC]+[.][\\s\\p{Z}]",
+)
+_LETTERS = "ابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهیءآأإئؤة۰۱۲۳۴۵۶۷۸۹"
+_MARKS = "ً-ٰٕ"
+_PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
+_PREFIX_EXCEPTIONS = (
+    "میان", "میز", "میزان", "میلی", "میلیون", "میلیارد", "مینا", "میرا", "میراث", "میوه", "میکا", "میکرب", "میکروسکوپ", "میگو", "میدان", "میل",
+    "میله", "میم", "مینی", "میهن", "میخ", "میر", "میزبان", "میکرو", "میانگین", "میانسال", "نمیان", "میزنم",
+)
+_PRESENTATION_RANGES = ((0xfb50, 0xfdff), (0xfe70, 0xfeff))
+_TATWEEL = "ـ"
+_TYPOGRAPHY_FROM = ",;?"
+_TYPOGRAPHY_TO = "،؛؟"
+_ZWJ = '\u200d'
 
 WS = "[\\s\\x{0b}\\x{85}\\p{Z}]"
 _K = "doc_id, page_no, line_no, span_no"
@@ -42,7 +81,7 @@ def _chars(t: str) -> str:
 
 def _forms(t: str) -> str:
     """Presentation forms, by the map that Unicode gives."""
-    pairs = {chr(c): unicodedata.normalize("NFKC", chr(c)) for a, b in T.PRESENTATION_RANGES for c in range(a, b + 1)}
+    pairs = {chr(c): unicodedata.normalize("NFKC", chr(c)) for a, b in _PRESENTATION_RANGES for c in range(a, b + 1)}
     pairs = {k: v for k, v in pairs.items() if k != v}
     keys, values = ", ".join(map(_s, pairs)), ", ".join(map(_s, pairs.values()))
     known = f"map([{keys}], [{values}])"
@@ -63,7 +102,7 @@ def _unmirror(t: str) -> str:
 
 def _mirrored(t: str) -> str:
     words = f"list_filter(regexp_split_to_array({t}, {_s(WS + '+')}), lambda w: regexp_full_match(w, '\\p{{L}}+'))"
-    known = "[" + ", ".join(map(_s, T.FUNCTION_WORDS)) + "]"
+    known = "[" + ", ".join(map(_s, _FUNCTION_WORDS)) + "]"
     return (
         f"(SELECT len(w) >= 30 AND b > 0 AND f < b * 1.6 FROM (SELECT w, len(list_filter(w, lambda x: list_contains({known}, x))) AS f, "
         f"len(list_filter(w, lambda x: list_contains({known}, {_backwards('x')}))) AS b FROM (SELECT {words} AS w)))"
@@ -80,7 +119,7 @@ def _brackets(t: str, count: bool = False) -> str:
 
 
 def _marks(t: str) -> str:
-    m = T.MARKS
+    m = _MARKS
     kept = f"regexp_replace({t}, '([^\\s\\x{{0b}}\\x{{85}}\\p{{Z}} A-Za-z{m}])( ?)([{m}])', '\\1\ue000\\3\\2', 'g')"
     return f"replace(regexp_replace({kept}, '(\ue000[{m}])|[{m}]', '\\1', 'g'), '\ue000', '')"
 
@@ -99,8 +138,8 @@ def _zwnj(t: str) -> str:
 
 def _prefixes(t: str) -> str:
     core = f"regexp_replace(w, '^[{_P}]+|[{_P}]+$', '', 'g')"
-    words = ", ".join(map(_s, T.PREFIX_EXCEPTIONS))
-    glued = f"regexp_matches({core}, '^(نمی|می)[{T.LETTERS}](?s:.)') AND NOT contains({core}, '\u200c') AND {core} NOT IN ({words})"
+    words = ", ".join(map(_s, _PREFIX_EXCEPTIONS))
+    glued = f"regexp_matches({core}, '^(نمی|می)[{_LETTERS}](?s:.)') AND NOT contains({core}, '\u200c') AND {core} NOT IN ({words})"
     return f"array_to_string(list_transform(string_split({t}, ' '), lambda w: CASE WHEN {glued} THEN regexp_replace(w, '^([{_P}]*)(نمی|می)', '\\1\\2\u200c') ELSE w END), ' ')"
 
 
@@ -122,18 +161,18 @@ def _joints(t: str, what: str = "\u200c") -> str:
 
 _NORMAL = f"""
     s0 AS (SELECT DISTINCT {_K}, text FROM spans WHERE text IS NOT NULL),
-    s1 AS (SELECT {_K}, {_forms(_translate('text', T.BIDI_CONTROLS + T.ZWJ, ''))} AS t FROM s0),
-    s2 AS (SELECT {_K}, {_translate('t', T.FOLD_FROM + T.ARABIC_DIGITS + T.TATWEEL, T.FOLD_TO + T.PERSIAN_DIGITS)} AS t FROM s1),
+    s1 AS (SELECT {_K}, {_forms(_translate('text', _BIDI_CONTROLS + _ZWJ, ''))} AS t FROM s0),
+    s2 AS (SELECT {_K}, {_translate('t', _FOLD_FROM + _ARABIC_DIGITS + _TATWEEL, _FOLD_TO + _PERSIAN_DIGITS)} AS t FROM s1),
     s3 AS (SELECT {_K}, t AS t0, {_mirrored('t')} AS mirrored FROM s2),
     s4 AS (SELECT {_K}, mirrored, CASE WHEN mirrored THEN {_unmirror('t0')} ELSE t0 END AS t FROM s3),
     s5 AS (SELECT {_K}, mirrored, {_brackets('t', True)} AS brackets_repaired, {_brackets('t')} AS t FROM s4),
     s6 AS (SELECT {_K}, mirrored, brackets_repaired, t AS b, {_marks('t')} AS t FROM s5),
-    s7 AS (SELECT {_K}, mirrored, brackets_repaired, ({_joints('b', T.MARKS)} - {_joints('t', T.MARKS)})::INTEGER AS marks_removed, t AS b, {_zwnj('t')} AS t FROM s6),
+    s7 AS (SELECT {_K}, mirrored, brackets_repaired, ({_joints('b', _MARKS)} - {_joints('t', _MARKS)})::INTEGER AS marks_removed, t AS b, {_zwnj('t')} AS t FROM s6),
     s8 AS (SELECT {_K}, mirrored, brackets_repaired, marks_removed, ({_joints('b')} - {_joints('t')})::INTEGER AS zwnj_removed, t AS b, {_prefixes('t')} AS t FROM s7),
     normal AS (SELECT {_K}, mirrored, brackets_repaired, marks_removed, zwnj_removed, ({_joints('t')} - {_joints('b')})::INTEGER AS zwnj_added, {_fragment('t')} AS text FROM s8)"""
 
 def _heading(t: str) -> str:
-    return "(" + " OR ".join(f"regexp_matches({t}, {_s(p)})" for p in T.HEADINGS) + ")"
+    return "(" + " OR ".join(f"regexp_matches({t}, {_s(p)})" for p in _HEADINGS) + ")"
 
 
 #: Lines, sizes and classes, as common table expressions.
@@ -158,14 +197,14 @@ _HEADS = f"""
     st AS (SELECT *, {_strip('text')} AS stripped FROM ln),
     np AS (SELECT doc_id, count(*) AS pages FROM pg GROUP BY ALL),
     rh AS (SELECT doc_id, stripped AS text, count(DISTINCT page_no) AS on_pages FROM st LEFT JOIN np USING (doc_id) WHERE length(stripped) BETWEEN 1 AND 60
-           GROUP BY doc_id, stripped, pages HAVING count(DISTINCT page_no) >= greatest(2, least(3, greatest(1, coalesce(pages, 1)) // 3)) AND (regexp_matches(stripped, {_s(T.FOLIO)}) OR length(stripped) > 3))"""
+           GROUP BY doc_id, stripped, pages HAVING count(DISTINCT page_no) >= greatest(2, least(3, greatest(1, coalesce(pages, 1)) // 3)) AND (regexp_matches(stripped, {_s(_FOLIO)}) OR length(stripped) > 3))"""
 _LEADING = """
     gaps AS (SELECT doc_id, page_no, size, lead(size) OVER w AS nxt, greatest(0.0, lead(top) OVER w - bottom) AS gap, lead(top) OVER w AS t2 FROM ln WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no)),
     mg AS (SELECT doc_id, page_no, list_sort(list(gap))[count(*) // 2 + 1] AS median_gap FROM gaps WHERE t2 IS NOT NULL AND gap <= greatest(size, nxt) * 1.25 GROUP BY ALL),
     re AS (SELECT doc_id, page_no, list_sort(list(x1))[least(count(*), floor(count(*) * 0.75)::BIGINT + 1)] AS right_edge FROM ln JOIN bd USING (doc_id) WHERE x1 > x0 AND abs(size - body) <= greatest(0.6, body * 0.08) GROUP BY ALL)"""
 _CLASSES = f"""
     cl AS (SELECT st.*, coalesce(height, 0.0) AS height, body, coalesce(tiers, []) AS tiers, coalesce(median_gap, 0.0) AS median_gap, coalesce(right_edge, 0.0) AS right_edge,
-             CASE WHEN stripped = '' THEN 'blank' WHEN rh.text IS NOT NULL THEN 'running' WHEN regexp_matches(stripped, {_s(T.FOLIO)}) AND top > coalesce(height, 0.0) * 0.85 THEN 'folio'
+             CASE WHEN stripped = '' THEN 'blank' WHEN rh.text IS NOT NULL THEN 'running' WHEN regexp_matches(stripped, {_s(_FOLIO)}) AND top > coalesce(height, 0.0) * 0.85 THEN 'folio'
                   WHEN size <= body * 0.94 AND top >= coalesce(height, 0.0) * 0.55 THEN 'note'
                   WHEN chars <= 200 AND (size >= body * 1.12 OR (NOT regexp_matches(stripped, '^[۰-۹0-9. ]+$') AND {_heading('stripped')})) THEN 'heading' ELSE 'body' END AS class
            FROM st LEFT JOIN pg USING (doc_id, page_no) LEFT JOIN bd USING (doc_id) LEFT JOIN tr USING (doc_id) LEFT JOIN mg USING (doc_id, page_no) LEFT JOIN re USING (doc_id, page_no)
@@ -228,7 +267,7 @@ def _esc(t: str) -> str:
 
 def _title_author(title: str, author: str, path: str) -> tuple[str, str]:
     stem = f"regexp_replace(regexp_replace({path}, '^.*/', ''), '^(.+)\\.[^.]+$', '\\1')"
-    stem = _strip(f"regexp_replace({stem}, {_s(WS + '*[(\\[]?(?:' + '|'.join(T.EDITION_WORDS) + ')[^)\\]]*[)\\]]?$')}, '')")
+    stem = _strip(f"regexp_replace({stem}, {_s(WS + '*[(\\[]?(?:' + '|'.join(_EDITION_WORDS) + ')[^)\\]]*[)\\]]?$')}, '')")
     parts = f"list_filter(list_transform(regexp_split_to_array({stem}, {_s(WS + '*[،,]' + WS + '*')}), lambda x: {_strip('x')}), lambda x: x <> '')"
     ti, au = _strip(f"coalesce({title}, '')"), _strip(f"coalesce({author}, '')")
     named = f"(len({parts}) >= 2 AND {au} = '')"
@@ -240,8 +279,8 @@ def _title_author(title: str, author: str, path: str) -> tuple[str, str]:
 
 _FONTS = f"""
     adm AS (SELECT *, regexp_replace(path, '^.*/', '') AS name, regexp_replace(regexp_replace(path, '^.*/', ''), '^(.+)\\.[^.]+$', '\\1') AS stem FROM (SELECT DISTINCT * FROM fonts) WHERE coverage >= 40 AND coalesce(family, '') <> '' AND family NOT LIKE '.%'),
-    fl AS (SELECT *, regexp_matches(stem, {_s(FT.BOLD_FILE)}) AS b, regexp_matches(stem, {_s(FT.ITALIC_FILE)}) AS i, regexp_matches(stem, {_s(FT.NOT_REGULAR)}) AS odd,
-             len(list_filter([{', '.join(map(_s, FT.OPEN_LICENCES))}], lambda m: contains(lower(coalesce(license_text, '')), m))) > 0 AS open, row_number() OVER (PARTITION BY family ORDER BY length(name), name, path) AS r FROM adm),
+    fl AS (SELECT *, regexp_matches(stem, {_s(_BOLD_FILE)}) AS b, regexp_matches(stem, {_s(_ITALIC_FILE)}) AS i, regexp_matches(stem, {_s(_NOT_REGULAR)}) AS odd,
+             len(list_filter([{', '.join(map(_s, _OPEN_LICENCES))}], lambda m: contains(lower(coalesce(license_text, '')), m))) > 0 AS open, row_number() OVER (PARTITION BY family ORDER BY length(name), name, path) AS r FROM adm),
     pl AS (SELECT family, r, CASE WHEN NOT b AND NOT i AND NOT odd THEN path END AS regular, CASE WHEN b AND NOT i THEN path END AS bold, CASE WHEN i AND NOT b THEN path END AS italic, CASE WHEN b AND i THEN path END AS bold_italic FROM fl WHERE r = 1 UNION ALL
            SELECT f.family, f.r, CASE WHEN face = 'regular' THEN path ELSE regular END, CASE WHEN face = 'bold' THEN path ELSE bold END, CASE WHEN face = 'italic' THEN path ELSE italic END, CASE WHEN face = 'bold_italic' THEN path ELSE bold_italic END
            FROM (SELECT fl.family, fl.r, fl.path, pl.regular, pl.bold, pl.italic, pl.bold_italic, CASE WHEN b AND i AND pl.bold_italic IS NULL THEN 'bold_italic' WHEN b AND pl.bold IS NULL THEN 'bold' WHEN i AND pl.italic IS NULL THEN 'italic' WHEN pl.regular IS NULL AND NOT odd THEN 'regular' END AS face
@@ -249,7 +288,7 @@ _FONTS = f"""
     faces AS (SELECT * FROM pl QUALIFY row_number() OVER (PARTITION BY family ORDER BY r DESC) = 1),
     wide AS (SELECT family, coverage, probe FROM fl QUALIFY row_number() OVER (PARTITION BY family ORDER BY coverage DESC, r) = 1),
     fam AS (SELECT faces.family, coalesce(regular, (SELECT path FROM fl WHERE fl.family = faces.family AND fl.r = 1)) AS regular, bold, italic, bold_italic, coverage, probe, (SELECT bool_and(open) FROM fl WHERE fl.family = faces.family) AS redistributable FROM faces JOIN wide USING (family)),
-    families AS (SELECT *, row_number() OVER (ORDER BY coalesce((SELECT min(i) FROM generate_series(1, {len(FT.PREFERRED)}) g(i) WHERE contains(lower(trim(family)), [{', '.join(map(_s, FT.PREFERRED))}][i])), {len(FT.PREFERRED) + 1}), probe DESC, redistributable DESC, coverage DESC, lower(family), family)::INTEGER AS rank FROM fam)"""
+    families AS (SELECT *, row_number() OVER (ORDER BY coalesce((SELECT min(i) FROM generate_series(1, {len(_PREFERRED)}) g(i) WHERE contains(lower(trim(family)), [{', '.join(map(_s, _PREFERRED))}][i])), {len(_PREFERRED) + 1}), probe DESC, redistributable DESC, coverage DESC, lower(family), family)::INTEGER AS rank FROM fam)"""
 
 _MARKUP = f"""
     mk AS (SELECT ch.doc_id, ch.chapter, ct.chapter_title, ch.block_no, {_esc('ch.text')} AS inner_text, ch.text, ch.kind, ol.anchor, ch.first_line_indent_em AS fi, ch.space_before_em AS sb, ch.level
@@ -266,11 +305,11 @@ _NEST = """
     dp AS (SELECT doc_id, entry_no, 0 AS depth FROM pr WHERE parent IS NULL UNION ALL SELECT pr.doc_id, pr.entry_no, dp.depth + 1 FROM dp JOIN pr ON pr.doc_id = dp.doc_id AND pr.parent = dp.entry_no)"""
 
 ORACLES = {
-    "n01_strip_bidi": _spans(out=_translate("text", T.BIDI_CONTROLS + T.ZWJ, "")),
+    "n01_strip_bidi": _spans(out=_translate("text", _BIDI_CONTROLS + _ZWJ, "")),
     "n02_presentation_forms": _spans(out=_forms("text")),
-    "n03_fold_letters": _spans(out=_translate("text", T.FOLD_FROM + T.ARABIC_DIGITS, T.FOLD_TO + T.PERSIAN_DIGITS)),
-    "n04_ascii_digits": _spans(out=_translate("text", T.ASCII_DIGITS, T.PERSIAN_DIGITS)),
-    "n05_drop_tatweel": _spans(out=f"replace(text, {_s(T.TATWEEL)}, '')"),
+    "n03_fold_letters": _spans(out=_translate("text", _FOLD_FROM + _ARABIC_DIGITS, _FOLD_TO + _PERSIAN_DIGITS)),
+    "n04_ascii_digits": _spans(out=_translate("text", _ASCII_DIGITS, _PERSIAN_DIGITS)),
+    "n05_drop_tatweel": _spans(out=f"replace(text, {_s(_TATWEEL)}, '')"),
     "n06_looks_mirrored": f"SELECT DISTINCT block_id, {_mirrored('text')} AS mirrored, {_mirrored(_backwards('text'))} AS backwards FROM blocks WHERE text IS NOT NULL",
     "n07_unmirror": _spans(out=_unmirror("text")),
     "n08_brackets": _spans(out=_brackets("translate(text, '()[]', ')(][')"), repaired=_brackets("translate(text, '()[]', ')(][')", True)),
@@ -279,7 +318,7 @@ ORACLES = {
     "n11_prefixes": _spans(out=_prefixes("text")),
     "n13_collapse_lines": _spans(out=_lines("text")),
     "n14_collapse_fragment": _spans(out=_fragment("text")),
-    "n15_typography": _spans(out=_translate("text", T.TYPOGRAPHY_FROM, T.TYPOGRAPHY_TO)),
+    "n15_typography": _spans(out=_translate("text", _TYPOGRAPHY_FROM, _TYPOGRAPHY_TO)),
     "n16_normalize": f"WITH {_NORMAL} SELECT * FROM normal",
     "n17_has_arabic_script": _spans(out="regexp_matches(text, '[\\x{600}-\\x{6ff}]')"),
     "n18_repairs": f"WITH {_NORMAL} SELECT doc_id, sum(mirrored::INTEGER)::BIGINT AS mirrored, sum(brackets_repaired)::BIGINT AS brackets_repaired, sum(marks_removed)::BIGINT AS marks_removed, sum(zwnj_removed)::BIGINT AS zwnj_removed, sum(zwnj_added)::BIGINT AS zwnj_added FROM normal GROUP BY doc_id",
@@ -333,7 +372,7 @@ ORACLES = {
         FROM latest LEFT JOIN df USING (doc_id) LEFT JOIN kd USING (doc_id) LEFT JOIN br USING (doc_id)""",
     "a08_routes": "SELECT DISTINCT path, regexp_extract(path, '^(.*/)?[^/]*$', 1) || 'converted/' || regexp_replace(regexp_replace(path, '^.*/', ''), '^(.+)\\.[^.]+$', '\\1') || '.epub' AS epub_path, regexp_extract(path, '^(.*/)?[^/]*$', 1) || 'converted/' || regexp_replace(regexp_replace(path, '^.*/', ''), '^(.+)\\.[^.]+$', '\\1') || '.mobi' AS mobi_path FROM books",
     "a09_font_families": f"WITH RECURSIVE {_FONTS} SELECT * FROM families",
-    "pred_redistributable": f"SELECT DISTINCT path, coverage % 3 = 0 OR len(list_filter([{', '.join(map(_s, FT.OPEN_LICENCES))}], lambda m: contains(lower(coalesce(license_text, '')), m))) > 0 AS open FROM fonts",
+    "pred_redistributable": f"SELECT DISTINCT path, coverage % 3 = 0 OR len(list_filter([{', '.join(map(_s, _OPEN_LICENCES))}], lambda m: contains(lower(coalesce(license_text, '')), m))) > 0 AS open FROM fonts",
     "font_pick": f"""WITH RECURSIVE {_FONTS}, w AS (SELECT DISTINCT regexp_replace(coalesce(font, ''), '^[A-Z]{{6}}[+]|-.*$', '', 'g') AS wanted FROM spans)
         SELECT wanted, family FROM w CROSS JOIN families QUALIFY row_number() OVER (PARTITION BY wanted ORDER BY CASE WHEN wanted = '' THEN 2 WHEN lower(trim(family)) = lower(trim(wanted)) THEN 0 WHEN contains(lower(trim(family)), lower(trim(wanted))) THEN 1 ELSE 2 END, rank) = 1""",
     "s12_face_files": f"WITH RECURSIVE {_FONTS} SELECT family, 'regular' AS face, regular AS path FROM families UNION ALL SELECT family, 'bold', bold FROM families WHERE bold IS NOT NULL UNION ALL SELECT family, 'italic', italic FROM families WHERE italic IS NOT NULL UNION ALL SELECT family, 'bold_italic', bold_italic FROM families WHERE bold_italic IS NOT NULL",
@@ -351,7 +390,7 @@ ORACLES = {
     "r07_title_pages": f"""WITH {_BOOKS}, t AS (SELECT doc_id, {_T} AS title, {_A} AS author FROM latest) SELECT doc_id, CASE WHEN title = '' AND author = '' THEN '' ELSE '<section class="titlepage" epub:type="titlepage">' || CASE WHEN title <> '' THEN '<p class="book-title">' || {_esc('title')} || '</p>' ELSE '' END
         || CASE WHEN author <> '' THEN '<p class="book-author">' || {_esc('author')} || '</p>' ELSE '' END || '</section>' END AS page FROM t""",
     "pred_numbering": _spans(out="regexp_matches(text, '^[۰-۹0-9. ]+$')"),
-    "pred_folio": _spans(out=f"regexp_matches(text, {_s(T.FOLIO)})"),
+    "pred_folio": _spans(out=f"regexp_matches(text, {_s(_FOLIO)})"),
     "pred_heading_form": _spans(out=_heading("text")),
     "pred_new_files": "SELECT DISTINCT path FROM (SELECT upper(path) AS path FROM books UNION ALL SELECT path FROM books) WHERE lower(path) LIKE '%.pdf' AND path NOT IN (SELECT path FROM books WHERE total_pages > 2)",
 }
