@@ -61,12 +61,13 @@ def split_chapters(blocks: DataFrame, limit: int = 2000, overlap: int = 200) ->
         rows.groupBy(*KEYS, section.alias("section"))
         .agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("block_no", "text"))), lambda b: b["text"]), "\n").alias("text"))
     )
-    # windows see lengths only; texts stay where their sections are, however many a chapter has
+    # what is known about sections comes from lengths alone: repeated rows go by hashes, and texts are shuffled once
+    sizes = rows.select(*KEYS, "block_no", section.alias("section"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(7)).alias("h2"), F.length("text").alias("n")).distinct()
+    facts = sizes.groupBy(*KEYS, "section").agg((F.sum("n") + F.count("*") - 1).alias("chars"))
     chapter = Window.partitionBy(*KEYS)
     ordered = chapter.orderBy("section")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    facts = sections.select(*KEYS, "section", F.length("text").alias("chars"))
-    placed = (
+    placed = settled(
         facts.withColumns({"chapter_chars": F.sum("chars").over(chapter) + F.count("*").over(chapter) - 1, "parts": F.count("*").over(chapter)})
         .where(F.col("chapter_chars") > limit)
         .select(*KEYS, "section", "chapter_chars", "parts", F.lead(F.lit(1)).over(ordered).isNull().alias("last"), F.coalesce(F.sum(F.col("chars") + 1).over(before), F.lit(0)).alias("base"))
@@ -74,9 +75,9 @@ def split_chapters(blocks: DataFrame, limit: int = 2000, overlap: int = 200) ->
     whole = F.when(F.col("last"), F.col("text")).otherwise(F.concat("text", F.lit("\n")))
     both = _joined(sections, placed).withColumn("whole", whole).drop("text")
     none = {"carry": F.lit(""), "before": F.lit(None).cast("string")}
-    parted = settled(both.where("parts > 1"))  # few chapters, or none
     ready = both.where("parts = 1").withColumns(none)
-    if not parted.isEmpty():
+    if not placed.where("parts > 1").isEmpty():
+        parted = settled(both.where("parts > 1"))  # few chapters
         ready = ready.unionByName(_joined(parted, _handed_on(parted, most, overlap, none)))
     cut = settled(_cut(ready, most).drop("whole", "text", "last", "parts"))  # the pieces, once: they are counted, then read
     first = F.coalesce(F.sum("n").over(before), F.lit(0))
