@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -125,15 +125,41 @@ def words_of(spans: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def encoded(word: str, n: int) -> list[tuple[str, str, bytes]]:
-    """(side, label, bytes) of a word: what it may have been written as ('w'), if it is frequent enough to be a twin, and what may have been read ('r')."""
-    out = [("r", r, b) for r in CODECS if (b := to_bytes(word, r)) is not None]
+class _Encodings(dict):
+    """Which of CODECS have a character, as bits, remembered: a word is in those that have all of its characters."""
+
+    def __init__(self, test: Callable[[str, str], bool]):
+        super().__init__()
+        self.test = test
+
+    def __missing__(self, char: str) -> int:
+        self[char] = sum(1 << i for i, c in enumerate(CODECS) if self.test(char, c))
+        return self[char]
+
+    def of(self, word: str) -> list[str]:
+        bits = -1
+        for c in set(word):
+            bits &= self[c]
+        return [c for i, c in enumerate(CODECS) if bits >> i & 1]
+
+
+def _writes(char: str, codec: str) -> bool:
+    try:
+        return bool(char.encode(codec))
+    except UnicodeEncodeError:
+        return False
+
+
+def encodings() -> tuple[_Encodings, _Encodings]:
+    """(those that a word may have been read in, those that it may be written in)."""
+    return _Encodings(lambda c, r: to_bytes(c, r) is not None), _Encodings(_writes)
+
+
+def encoded(word: str, n: int, read: _Encodings, write: _Encodings) -> list[tuple[str, str, bytes]]:
+    """(side, label, bytes) of a word: what may have been read as it ('r') and, if it is frequent enough to be a twin, what it may have been written as ('w')."""
+    out = [("r", r, b) for r in read.of(word) if (b := to_bytes(word, r)) is not None]
     if n >= RATIO:
-        for w in CODECS:
-            try:
-                out.append(("w", w, word.encode(w)))
-            except UnicodeEncodeError:
-                pass
+        out += [("w", w, word.encode(w)) for w in write.of(word)]
         once = word.encode("utf-8", "ignore")
         for a in _TWICE:
             mid = _loose(once) if a == "cp1252" else once.decode(a, "ignore")
@@ -145,8 +171,9 @@ def twins(spans: DataFrame, words: DataFrame) -> DataFrame:
     """garbled, clean, chain, n: each word and a word RATIO times as frequent whose bytes it has, with the same ASCII letters or at a place that both stand at."""
 
     def bytes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both = encodings()
         for pdf in batches:
-            rows = [(w, n, side, label, b) for w, n in zip(pdf["word"], pdf["n"]) for side, label, b in encoded(w, n)]
+            rows = [(w, n, side, label, b) for w, n in zip(pdf["word"], pdf["n"]) for side, label, b in encoded(w, n, *both)]
             yield pd.DataFrame(rows, columns=["word", "n", "side", "label", "b"])
 
     spread = spans.sparkSession.sparkContext.defaultParallelism  # a small table, but seconds of work
@@ -229,18 +256,23 @@ def garbled_words(words: DataFrame, learned: list[str], mapped: dict[str, str] |
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         steps = [(k, k.split(" ")[0].split(">"), k.partition(" ")[2]) for k in learned]
-        readers = {first[1] for _, first, _ in steps}
+        by_reader: dict[str, list] = {}
+        for k, first, rest in steps:
+            by_reader.setdefault(first[1], []).append((k, first[0], rest, k.split(">")[0] in MULTI))
+        read, _ = encodings()
         known = re.compile("|".join(map(re.escape, sorted(mapped, key=lambda x: (-len(x), x))))) if mapped else None
         for pdf in batches:
             out = []
             for w, n in zip(pdf["word"], pdf["n"]):
-                data = {r: to_bytes(w, r) for r in readers}
-                for k, first, rest in steps:
-                    r = from_bytes(data[first[1]], first[0]) if data[first[1]] is not None else None
-                    if r is not None and r not in (w, LOST) and rest:
-                        r = undo(r, rest)
-                    if r is not None and r != w and (r == LOST and k == "utf-8>cp1252" or (r.isprintable() or "\u200c" in r) and LOST not in r):
-                        out.append((w, n, r, k, k.split(">")[0] in MULTI))
+                for reader in read.of(w):
+                    if reader not in by_reader or (data := to_bytes(w, reader)) is None:
+                        continue
+                    for k, written, rest, multi in by_reader[reader]:
+                        r = from_bytes(data, written)
+                        if r is not None and r not in (w, LOST) and rest:
+                            r = undo(r, rest)
+                        if r is not None and r != w and (r == LOST and k == "utf-8>cp1252" or (r.isprintable() or "\u200c" in r) and LOST not in r):
+                            out.append((w, n, r, k, multi))
                 if known and known.search(w) and w != (r := known.sub(lambda m: mapped[m[0]], w)):
                     out.append((w, n, r, ALIGNED, False))
             yield pd.DataFrame(out, columns=["word", "n", "restored", "chain", "multi"])
