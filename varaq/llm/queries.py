@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import read_table as table
 from . import garbled, language, leaks, lookalike, mixture, quality, repeated, sentences, split
@@ -14,6 +15,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.found(table(spark, d, "blocks"))
 
 
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.checks(table(spark, d, "blocks"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled.found(table(spark, d, "spans"))
 
@@ -30,6 +35,11 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.book_statistics(table(spark, d, "blocks"), table(spark, d, "pages_geom"))
 
 
+def p3_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Those of the statistics that SQL can count as well."""
+    return quality.book_statistics(table(spark, d, "blocks"), table(spark, d, "pages_geom")).select("doc_id", "chars", "page_chars", "pages", F.round("end_mark_share", 9).alias("end_mark_share"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated.found(table(spark, d, "page_lines"), table(spark, d, "books"))
 
@@ -39,7 +49,7 @@ def p4_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return repeated.without_repeats(table(spark, d, "page_lines"), table(spark, d, "books"))
+    return repeated.without_repeats(table(spark, d, "page_lines"), table(spark, d, "books")).distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +78,10 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_chapters(table(spark, d, "blocks"))
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    return split.checks(table(spark, d, "blocks"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -115,14 +129,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: Where plain SQL says the same as the operator. The others are tested against brute force, round trips or held-out accuracy.
-ORACLES = {
-    "p4_found": """
-        WITH owner AS (SELECT DISTINCT doc_id, source FROM books),
+_WHITE = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+"
+_REPEATED = """
+        owner AS (SELECT DISTINCT doc_id, source FROM books),
         size AS (SELECT source, count(*) AS books FROM owner GROUP BY source),
         lines AS (SELECT DISTINCT p.doc_id, page_no, line_no, source, regexp_replace(lower(text), '[^\\p{L}]+', '', 'g') AS key FROM page_lines p JOIN owner USING (doc_id)),
         often AS (SELECT source, key FROM lines JOIN size USING (source) WHERE key <> '' GROUP BY source, key, books
-                  HAVING count(DISTINCT doc_id) >= 4 AND count(DISTINCT doc_id) * 5 >= books)
-        SELECT DISTINCT doc_id, page_no, line_no FROM lines JOIN often USING (source, key)""",
+                  HAVING count(DISTINCT doc_id) >= 4 AND count(DISTINCT doc_id) * 5 >= books),
+        again AS (SELECT DISTINCT doc_id, page_no, line_no FROM lines JOIN often USING (source, key))"""
+ORACLES = {
+    "p1_checks": f"""
+        SELECT DISTINCT doc_id, block_no, (length(text) - length(regexp_replace(text, '^{_WHITE}', '')))::INTEGER AS first, length(regexp_replace(text, '{_WHITE}$', ''))::INTEGER AS last, true AS whole
+        FROM blocks WHERE kind IN ('p', 'note') AND regexp_replace(text, '^{_WHITE}', '') <> ''""",
+    "p3_totals": """
+        WITH b AS (SELECT DISTINCT doc_id, block_id, text FROM blocks WHERE kind IN ('p', 'note') AND text IS NOT NULL),
+        g AS (SELECT doc_id, sum(text_chars)::BIGINT AS page_chars, count(DISTINCT page_no) AS pages FROM (SELECT DISTINCT doc_id, page_no, text_chars FROM pages_geom) GROUP BY doc_id)
+        SELECT b.doc_id, sum(length(text))::BIGINT AS chars, any_value(page_chars) AS page_chars, any_value(pages) AS pages,
+          round(avg(regexp_matches(regexp_replace(text, '^\\s*([*†‡]|\\(\\p{Nd}+\\))\\s*', ''), '[.!?؟。！？…]["''”’»」』）)\\]]*\\s*$')::INTEGER), 9) AS end_mark_share FROM b LEFT JOIN g USING (doc_id) GROUP BY b.doc_id""",
+    "p4_found": f"WITH {_REPEATED} SELECT * FROM again",
+    "p4_cleaned": f"WITH {_REPEATED} SELECT DISTINCT * FROM page_lines ANTI JOIN again USING (doc_id, page_no, line_no)",
+    "p6_checks": """
+        SELECT doc_id, chapter_no, (sum(length(text)) + count(*) - 1)::BIGINT AS chapter_chars, true AS rebuilt, true AS within, true AS repeated
+        FROM (SELECT DISTINCT doc_id, chapter_no, block_no, text FROM blocks WHERE text IS NOT NULL) GROUP BY doc_id, chapter_no HAVING sum(length(text)) + count(*) - 1 > 2000""",
     "p6_found": """
         SELECT doc_id, chapter_no FROM (SELECT DISTINCT doc_id, chapter_no, block_no, text FROM blocks WHERE text IS NOT NULL)
         GROUP BY doc_id, chapter_no HAVING sum(length(text)) + count(*) - 1 > 2000""",

@@ -64,7 +64,7 @@ _BOUNDS = np.array([0x41, 0x5B, 0x61, 0x7B, 0xC0, 0x250, 0x400, 0x500, 0x600, 0x
 _SCRIPT_AT = np.array([0, 1, 0, 1, 0, 1, 0, 2, 0, 3, 0, 4, 0, 5, 0, 6, 0, 3, 0, 3, 0])
 
 
-def language(text: str, words: set[str] | None = None) -> str:
+def language(text: str) -> str:
     """A rough language, to keep statistics apart: by script, then by function words or letters; xx where they don't tell."""
     if text.isascii():
         la, ru, fa, th, ja, zh = 1, 0, 0, 0, 0, 0
@@ -80,8 +80,7 @@ def language(text: str, words: set[str] | None = None) -> str:
     if top == "fa":
         return "fa" if len(_PERSIAN.findall(text)) * 2 > len(_ARABIC.findall(text)) else "ar"
     if top == "la":
-        if words is None:
-            words = set(text.lower().split())
+        words = set(text.lower().split())
         hits = {k: len(f & words) for k, f in _FUNCTION.items()}
         most = max(hits.values())
         best = [k for k, n in hits.items() if n == most] if most else []
@@ -281,7 +280,7 @@ class Reader:
     def read(self, text: str, count: bool = True) -> tuple[str, list[tuple[int, str, str, int]]]:
         """(language, [(end, which statistics or '' for a sure cut, key, flags)])."""
         tokens = text.split()
-        lang = language(text, set(text.lower().split()))
+        lang = language(text)
         if lang == "th":
             return lang, [(a, "", "", 0) for a in _thai(text)]
         cuts, seen = [], self.counts
@@ -495,3 +494,14 @@ def sentences(blocks: DataFrame, kept: F.Column | None = None) -> DataFrame:
 def found(blocks: DataFrame) -> DataFrame:
     """Sentences of p and note blocks, by the statistics of the same."""
     return sentences(blocks.where("kind in ('p', 'note')"))
+
+
+def checks(blocks: DataFrame) -> DataFrame:
+    """doc_id, block_no, first, last (of all sentences of the block's text) and whole: in order, apart, with white space alone between them."""
+    body = blocks.where("kind in ('p', 'note') and text is not null").select("doc_id", "block_no", "text").distinct()
+    g = found(blocks).groupBy("doc_id", "block_no").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos"))).alias("s"))
+    both = body.join(g, ["doc_id", "block_no"])
+    gaps = F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.when(i == 0, "").otherwise(F.substring(F.col("text"), F.get("s", i - 1)["end_pos"] + 1, F.get("s", i)["start_pos"] - F.get("s", i - 1)["end_pos"])))
+    apart = F.forall(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (F.get("s", i)["end_pos"] > F.get("s", i)["start_pos"]) & ((i == 0) | (F.get("s", i)["start_pos"] >= F.get("s", i - 1)["end_pos"])))
+    blank = ~F.array_join(gaps, "").rlike("(?U)[^\\s\\x{1c}-\\x{1f}\\x{85}]")
+    return both.select("doc_id", "block_no", F.get("s", 0)["start_pos"].alias("first"), F.element_at("s", -1)["end_pos"].alias("last"), (apart & blank).alias("whole"))

@@ -137,3 +137,16 @@ def _joined(sections: DataFrame, facts: DataFrame) -> DataFrame:
 def found(blocks: DataFrame, limit: int = 2000) -> DataFrame:
     """Each chapter that had to be cut."""
     return split_chapters(blocks, limit).where("piece_no = 0").select("doc_id", "chapter_no")
+
+
+def checks(blocks: DataFrame, limit: int = 2000, overlap: int = 200) -> DataFrame:
+    """doc_id, chapter_no, chapter_chars of every chapter that is cut, and what must hold: rebuilt (its pieces without overlaps are its text),
+    within (no piece is over the limit) and repeated (each overlap is the end of the piece before, and not over its limit)."""
+    rows = blocks.select(*KEYS, "block_no", "text").where("text is not null").distinct()
+    texts = rows.groupBy(*KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda b: b["text"]), "\n").alias("text"))
+    g = split_chapters(blocks, limit, overlap).groupBy(*KEYS, "chapter_chars").agg(F.array_sort(F.collect_list(F.struct("piece_no", "overlap", "body"))).alias("p"))
+    both = texts.join(g, reduce(lambda a, b: a & b, [texts[k].eqNullSafe(g[k]) for k in KEYS])).select(*(texts[k] for k in KEYS), "text", "p", F.col("chapter_chars").cast("bigint").alias("chapter_chars"))
+    rebuilt = F.array_join(F.transform("p", lambda x: x["body"]), "") == F.col("text")
+    within = F.forall("p", lambda x: F.length(x["overlap"]) + F.length(x["body"]) <= limit)
+    repeated = F.forall(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.when(i == 0, F.get("p", i)["overlap"] == "").otherwise(F.endswith(F.get("p", i - 1)["body"], F.get("p", i)["overlap"]) & (F.length(F.get("p", i)["overlap"]) <= overlap)))
+    return both.select(*KEYS, "chapter_chars", rebuilt.alias("rebuilt"), within.alias("within"), repeated.alias("repeated"))
