@@ -48,17 +48,14 @@ def bands(segments_: DataFrame) -> DataFrame:
 
     The band's first segment is the anchor, so this is a fold over the page's segments, not a comparison of neighbours.
     """
-    row = F.struct((-F.col("y1")).alias("down"), "seg_no")
-    page = segments_.groupBy(*PAGE).agg(F.array_sort(F.collect_list(row)).alias("s"))
-    start = F.struct(F.lit(-1).alias("band"), F.lit(0.0).cast("double").alias("anchor"), F.array().cast("array<struct<seg_no:int,band:int>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        opens = (acc["band"] < 0) | (s["down"] - acc["anchor"] > Y_TOLERANCE)
-        band = F.when(opens, acc["band"] + 1).otherwise(acc["band"])
-        return F.struct(band.alias("band"), F.when(opens, s["down"]).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["out"], F.array(F.struct(s["seg_no"].cast("int").alias("seg_no"), band.alias("band")))).alias("out"))
-
-    placed = page.select(*PAGE, F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("p")).select(*PAGE, "p.seg_no", "p.band")
-    return segments_.join(placed, [*PAGE, "seg_no"])
+    page = segments_.groupBy(*PAGE).agg(F.array_sort(F.collect_set(-F.col("y1"))).alias("downs"))
+    none = F.array().cast("array<double>")
+    # the fold goes over the different heights of a page and keeps one number a band; a segment's band is how many of them lie above it
+    opens = lambda acc, d: (F.size(acc) == 0) | (d - F.element_at(acc, -1) > Y_TOLERANCE)
+    anchors = F.aggregate("downs", none, lambda acc, d: F.when(opens(acc, d), F.concat(acc, F.array(d))).otherwise(acc))
+    found = page.select(*PAGE, anchors.alias("anchors"))
+    above = F.size(F.filter("anchors", lambda a: a <= -F.col("y1")))
+    return segments_.join(found, list(PAGE)).withColumn("band", above - 1).drop("anchors")
 
 
 def band_boxes(banded: DataFrame, pages: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ A document is the unit of order: windows run over one book's lines, so the large
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,13 +142,14 @@ def classified(lines_: DataFrame, pages: DataFrame) -> DataFrame:
     histogram = size_histogram(lines_)
     body = body_size(histogram)
     heads = running_heads(lines_, pages).select("doc_id", F.col("text").alias("stripped"), F.lit(True).alias("running"))
+    # what is known of documents and of pages comes together first, so that the lines meet each once
+    documents = body.join(size_tiers(histogram, body), "doc_id", "left")
+    parts = [distinct_pages(pages).select(*PAGE, "height"), page_leading(lines_), page_right_edge(lines_, body)]
+    by_page = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy(*PAGE).agg(*(F.max(c).alias(c) for c in ("height", "median_gap", "right_edge")))
     facts = (
         lines_.withColumn("stripped", T.strip(F.col("text")))
-        .join(distinct_pages(pages).select(*PAGE, "height"), list(PAGE), "left")
-        .join(body, "doc_id", "left")
-        .join(size_tiers(histogram, body), "doc_id", "left")
-        .join(page_leading(lines_), list(PAGE), "left")
-        .join(page_right_edge(lines_, body), list(PAGE), "left")
+        .join(documents, "doc_id", "left")
+        .join(by_page, list(PAGE), "left")
         .join(heads, ["doc_id", "stripped"], "left")
         .withColumns({"height": F.coalesce("height", F.lit(0.0)), "tiers": F.coalesce("tiers", F.array().cast("array<double>")), "median_gap": F.coalesce("median_gap", F.lit(0.0)), "right_edge": F.coalesce("right_edge", F.lit(0.0))})
     )
