@@ -573,3 +573,41 @@ def test_sentences_in_disguise(text, expected):
     """With the statistics that a Persian corpus gives, and with characters that only look like others."""
     stats = {"pure": {("fa", "ک"), ("fa", "ص")}, "short": set(), "on": set(), "number": {("fa", ""), ("en", "")}}
     assert [text[a:b] for a, b in sentences.split(text, stats)] == expected
+
+
+def test_empty_tables_everywhere(spark):
+    """Every operator gives an empty result, or a report of nothing, for tables without rows and for tables of nulls alone."""
+    none = blocks(spark, []).limit(0)
+    nulls = spark.createDataFrame([(None,) * 9] * 2, BLOCK)
+    lines, books = spark.createDataFrame([], LINES), spark.createDataFrame([], "doc_id bigint, source string")
+    docs, targets = spark.createDataFrame([], DOCS), spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    items = spark.createDataFrame([], "item_id bigint, text string")
+    for table in (none, nulls):
+        for made in (sentences.found(table), sentences.checks(table), lookalike.classes(table), lookalike.found(table), split.split_chapters(table), split.checks(table), quality.found(table, spark.createDataFrame([], "doc_id bigint, page_no int, text_chars int"))):
+            assert made.count() == 0
+    null_lines = spark.createDataFrame([(None,) * 7] * 2, LINES)
+    for table in (lines, null_lines):
+        assert repeated.frequent_sequences(table, books).count() == 0 and repeated.found(table, books).count() == 0 and repeated.without_repeats(table, books).count() == table.count()
+    null_docs, null_items = spark.createDataFrame([(None,) * 6] * 2, DOCS), spark.createDataFrame([(None, None)], "item_id bigint, text string")
+    for d, i in ((docs, items), (null_docs, null_items)):
+        assert leaks.leaks(d, i).count() == 0 and leaks.leaks(d, i, max_item_bytes=-1).count() == 0
+        draw, report = mixture.tempered(d, targets)
+        assert draw.count() == 0 and report.first()["share"] == 0.0 and mixture.checks(d, targets).count() == 3
+        assert language.found(d).count() == 0 and language.segments(d).count() == 0
+    null_spans = spark.createDataFrame([(None,) * 9] * 2, SPAN)
+    for table in (spans(spark, []).limit(0), null_spans):
+        assert garbled.found(table).count() == 0 and garbled.repaired(table).count() == 0
+
+
+def test_hot_groups_keep_their_results(spark):
+    """A third of all rows under one key: the same rows as from the key's parts."""
+    rows = [(i, 1 if i % 3 == 0 else i, i, "p", ("the cat sat", "ｔhe cat sat", "thе cat sat", f"text {i}")[i % 4]) for i in range(240)]
+    table = blocks(spark, rows)
+    by = {}
+    for i, *_, t in rows:
+        by.setdefault(t, []).append(i)
+    a, b, c = (by[t] for t in ("the cat sat", "ｔhe cat sat", "thе cat sat"))
+    want = {tuple(sorted((x, y))) for p, q in ((a, b), (a, c), (b, c)) for x in p for y in q}
+    assert {tuple(r) for r in lookalike.found(table).collect()} == want
+    got = {r["block_id"]: (r["class_id"], r["links"], r["texts"]) for r in lookalike.classes(table).collect()}
+    assert got == {i: (min(a + b + c), len(a + b + c) - len(own), 3) for own in (a, b, c) for i in own}
