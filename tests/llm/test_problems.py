@@ -186,6 +186,10 @@ def test_counts_of_a_text():
     assert got[0]["f_en"] == 4 and got[0]["number"] == 2 and got[0]["ends"] == 1 and got[0]["comma"] == 1 and got[0]["again"] == 1 and got[0]["capital"] == 0
     assert not any(got[1].values()) and got[2]["capital"] == 1 and got[2]["symbol"] == 2 and got[2]["leader"] == 1 and got[2]["number"] == 2
     assert got[3]["cjk"] == 3 and got[3]["f_zh"] == 2 and got[4]["mixed"] == 0 and got[5]["leader"] == 1
+    slow = quality.Tokens()
+    for token in ("word", "word.", "Wort;", "été,", "слово!", "کتاب؟", "کتاب،", "naïve:", "İx", "a", "é", "字", "字。", "ไป,", "x2.", "ß?", "ΑΒ.", "a=b", "-", "3.5%", "۱۲،", "Ⅷ", "x½", "a|b;", "...7", "می‌رود،", "é…"):
+        row = slow.rows[slow[token]]
+        assert list(map(int, row[8:16])) == [len(r.findall(token)) for r in slow.counted.values()], token
     one = quality._counts(texts, known := quality.Tokens())
     assert np.array_equal(one, np.concatenate([quality._counts([t], known) for t in texts]))
 

@@ -58,6 +58,7 @@ _COUNTED = {
     "symbol": r"[$+<=>^`|~*/\\{}\[\]_#@&•‣◦→%](?![\x80-\x9f\xc0-\xff])|^-$",
     "mixed": r"^(?=.*\p{L})(?=.*[\p{N}+/|~;:{}\[\]<>=])[\p{L}\p{N}+/|~;:{}\[\]<>=']{2,}(?<![:;])$",
 }
+_NEEDED = {k: frozenset(v) for k, v in {"comma": ",،、，;؛；", "ends": ".!?؟。！？…", "leader": "·.", "number": "", "symbol": "$+<=>^`|~*/\\{}[]_#@&•‣◦→%-", "mixed": "+/|~;:{}[]<>="}.items()}
 _WIDE = {"cjk": r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", "kana": r"[\p{Hiragana}\p{Katakana}]", "thai": r"\p{Thai}", **{f"f_{k}": v if k == "th" else f"[{v}]" for k, v in FUNCTION_SYLLABLES.items()}}
 _RAW = [*(f"f_{k}" for k in FUNCTION_WORDS), *_COUNTED, *_WIDE, "capital", "again"]
 _FEATURES = "letters double, lang string, words double, mean_word_length double, symbol_ratio double, common_ratio double, " + ", ".join(f"{c} double" for c in CLASSES)
@@ -69,7 +70,6 @@ class Tokens(dict):
     def __init__(self) -> None:
         super().__init__()
         self.counted, self.wide = {k: regex.compile(v) for k, v in _COUNTED.items()}, {k: regex.compile(v) for k, v in _WIDE.items()}
-        self.function = {w: i for i, (k, v) in enumerate(FUNCTION_WORDS.items()) for w in v.split()}
         self.several: dict[str, list[int]] = {}
         for i, v in enumerate(FUNCTION_WORDS.values()):
             for w in v.split():
@@ -77,17 +77,29 @@ class Tokens(dict):
         self.run, self.known = regex.compile(r"[\p{L}\p{M}]+"), {"": 0}
         self.rows: list[list[int]] = []
         self.more: list[tuple] = []
+        self.made, self.counts, self.facts = 0, np.empty((0, len(_RAW))), np.empty((0, 6), np.int64)
 
     def __missing__(self, token: str) -> int:
         row = [0] * len(_RAW)
         low, n = token.lower(), len(FUNCTION_WORDS)
-        runs = self.run.findall(low)
+        word = token[:-1] if token[-1] in ".,;:!?،؛؟" else token
+        plain = word.isalpha() and (word.isascii() or not _ASIAN.search(word))  # letters alone, with a mark at most
+        runs = [low[: len(word)]] if plain and len(low) == len(token) else self.run.findall(low)
         for w in runs:
             for i in self.several.get(w, ()):
                 row[i] += 1
-        for i, r in enumerate(self.counted.values(), n):
-            row[i] = len(r.findall(token))
-        if _ASIAN.search(token):
+        if plain:
+            mark = token[len(word) :]
+            row[n], row[n + 1], row[n + 2], row[n + 3] = len(word), 1, mark in (",", ";", "،", "؛"), mark in (".", "!", "?", "؟")
+        else:
+            seen = set(token)
+            digit = any(c.isnumeric() for c in seen)
+            for i, (k, r) in enumerate(self.counted.items(), n):
+                # a pattern is tried only where a character that it needs is
+                if k in _NEEDED and not (digit and k in ("number", "mixed")) and seen.isdisjoint(_NEEDED[k]):
+                    continue
+                row[i] = len(r.findall(token))
+        if not plain and _ASIAN.search(token):
             for i, r in enumerate(self.wide.values(), n + len(_COUNTED)):
                 row[i] = len(r.findall(token))
         # of neighbours: the word at either end, whether it starts with a capital or a digit, ends in a leader, and how it ends
@@ -97,8 +109,16 @@ class Tokens(dict):
         end = token[-1]
         self.more.append((name(first), name(last), capital, token[0].isdigit(), end in "·." and len(token) > 2 and token[-3:] in ("...", "···"), end.isalnum() or end in ".!?…«“\""))
         self.rows.append(row)
-        self[token] = len(self.rows) - 1
-        return len(self.rows) - 1
+        self[token] = self.made + len(self.rows) - 1
+        return self[token]
+
+    def matrices(self) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, what matters to neighbours) of all tokens; those new since the last call are added."""
+        if self.rows:
+            self.counts = np.concatenate([self.counts, np.array(self.rows, np.float64)])
+            self.facts = np.concatenate([self.facts, np.array(self.more, np.int64)])
+            self.made, self.rows, self.more = len(self.counts), [], []
+        return self.counts, self.facts
 
 
 def _counts(texts: list[str], known: Tokens) -> np.ndarray:
@@ -109,9 +129,9 @@ def _counts(texts: list[str], known: Tokens) -> np.ndarray:
     out = np.zeros((len(texts), len(_RAW)))
     if not len(ids):
         return out
-    facts = np.array(known.more, np.int64)
+    counts, facts = known.matrices()
     owner = np.repeat(np.arange(len(texts)), lengths)
-    values = np.array(known.rows, np.float64)[ids]
+    values = counts[ids]
     before = np.r_[False, owner[1:] == owner[:-1]]  # has a token before it in its text
     first, last, capital, digit, leader, closed = facts[ids].T
     values[:, _RAW.index("capital")] = before & (capital > 0) & ~np.r_[True, closed[:-1] > 0]
@@ -181,11 +201,11 @@ def _nearest(profiles: list[Profile]):
         p = p / np.where(total > 0, total, 1)
         langs = lang.to_numpy()
         d = np.empty((len(profiles), len(p)))
+        bits = lambda x: -np.where(x > 0, x * np.log2(np.where(x > 0, x, 1)), 0).sum(axis=-1)  # noqa: E731  entropy
+        h = bits(p)
         for k, (_, _, own, shares) in enumerate(profiles):
             q = np.asarray(shares) / sum(shares)
-            m = (p + q) / 2
-            with np.errstate(divide="ignore", invalid="ignore"):
-                d[k] = (np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)).sum(axis=1) / 2
+            d[k] = np.maximum(bits((p + q) / 2) - (h + bits(q)) / 2, 0)
             if own is not None:
                 d[k, langs != own] = np.inf
         best = d.argmin(axis=0)
