@@ -615,3 +615,68 @@ def test_hot_groups_keep_their_results(spark):
     assert {tuple(r) for r in lookalike.found(table).collect()} == want
     got = {r["block_id"]: (r["class_id"], r["links"], r["texts"]) for r in lookalike.classes(table).collect()}
     assert got == {i: (min(a + b + c), len(a + b + c) - len(own), 3) for own in (a, b, c) for i in own}
+
+
+# Made corpora of which the truth is known: recall and precision ------------------------------------------------
+
+def measured(got, want):
+    return len(got & want) / len(want), len(got & want) / len(got)
+
+
+def test_sentences_of_a_made_corpus(spark):
+    rnd = random.Random(21)
+    names, nouns = ["Smith", "Wexlund", "Halkin", "Bruvian"], "tower bridge market river valley gate ledger orchard".split()
+    forms = [
+        "According to Dr. {n} the old {a} was near the {b}.", "Nobody saw the {a} on p. {k} of the book!", "It cost {k}.5 coins, and the {b} was open.", "“The {a} fell. It was late,” said {n}.",
+        "They bought ropes, a {a}, a {b}, etc.", "Was it the {a} of the {b}?", "The {a} (see vol. {k}) stood there ... or so it seemed.", "In {k} the file {a}.txt named the {b}.",
+    ]
+    rows, want = [], set()
+    for i in range(600):
+        parts = [rnd.choice(forms).format(n=rnd.choice(names), a=rnd.choice(nouns), b=rnd.choice(nouns), k=rnd.randint(2, 900)) for _ in range(rnd.randint(1, 6))]
+        at = 0
+        for p in parts:
+            want.add((i, 0, at, at + len(p)))
+            at += len(p) + 1
+        rows.append((i, i, 0, "p", " ".join(parts)))
+    recall, precision = measured({tuple(r) for r in sentences.found(blocks(spark, rows)).collect()}, want)
+    assert recall >= 0.99 and precision >= 0.99
+
+
+def test_garbled_spans_of_a_made_corpus(spark):
+    rnd = random.Random(22)
+    words = ["préparé", "dépassé", "étroit", "désolé", "isolé", "musée", "sévère", "größere", "müde", "hölzerne", "schöne", "pequeño", "mañana", "español", "señal", "старый", "новый", "город", "дерево", "молчит", "река", "дом"]
+    ways = [("utf-8", "cp1252"), ("utf-8", "mac_roman"), ("cp1251", "koi8_r"), ("cp1252", "cp437")]
+    texts, want, meant = [], set(), {}
+    for i in range(1500):
+        t = " ".join(rnd.choices(words, k=6)) + f" {rnd.randint(1, 99)} a"
+        if i % 10 == 0:
+            a, b = rnd.choice(ways)
+            try:
+                bad = t.encode(a).decode(b)
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                bad = t.encode("utf-8").decode("mac_roman")
+            want.add(i)
+            meant[i] = t
+            t = bad
+        texts.append(t)
+    got = {r["line_no"]: r["restored"] for r in garbled.repaired(spans(spark, texts)).collect()}
+    recall, precision = measured(set(got), want)
+    assert recall >= 0.99 and precision >= 0.99 and sum(got[i] == meant[i] for i in want & set(got)) >= 0.9 * len(want)
+
+
+def test_books_of_a_made_corpus(spark):
+    rnd = random.Random(23)
+    nouns = "tower bridge market river valley gate ledger orchard mill stove".split()
+    prose = lambda: f"The old {rnd.choice(nouns)} stood near the {rnd.choice(nouns)}, and nobody in the town had seen it for most of the year. It was late when they came to the {rnd.choice(nouns)}."
+    other = [
+        lambda: ", ".join(f"the {rnd.choice(nouns)}" for _ in range(9)), lambda: " | ".join(f"{rnd.choice(nouns)} {rnd.randint(1, 9999)}" for _ in range(8)), lambda: "".join(rnd.choices("]*+[}/{|#=~%_^>< ", k=60)),
+        lambda: " ".join(f"{rnd.choice(nouns).title()} ..... {rnd.randint(1, 300)}" for _ in range(6)), lambda: f"{rnd.choice(nouns)} " * 20,
+    ]
+    rows, want = [], set()
+    for d in range(120):
+        odd = d % 4 == 0
+        want |= {d} if odd else set()
+        rows += [(100 * d + i, d, i, "p", (rnd.choice(other) if (i < 9 if odd else i < 2) else prose)()) for i in range(12)]
+    pages = spark.createDataFrame([], "doc_id bigint, page_no int, text_chars int")
+    recall, precision = measured({r["doc_id"] for r in quality.found(blocks(spark, rows), pages).collect()}, want)
+    assert recall >= 0.95 and precision >= 0.95

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -41,9 +42,10 @@ _KIND = np.array([len(_NAMES), *(x for _, _, k in _RANGES for x in (k, len(_NAME
 _ASCII_LETTERS = bytes(c for c in range(128) if chr(c).isalpha())
 
 
-def _codes(spark: SparkSession) -> dict[str, str]:
+@cache
+def _codes() -> dict[str, str]:
     """ISO 639 codes of two and three letters to those of two, as the Java runtime lists them."""
-    locale = spark._jvm.java.util.Locale
+    locale = SparkSession.active()._jvm.java.util.Locale
     two = [str(c) for c in locale.getISOLanguages()]
     three = {str(locale.forLanguageTag(c).getISO3Language()): CHANGED.get(c, c) for c in two}
     return three | {c: CHANGED.get(c, c) for c in two} | BIBLIOGRAPHIC
@@ -55,7 +57,7 @@ def label_language(label: F.Column) -> F.Column:
     A code of two letters that ISO 639 doesn't list names itself; one of three, nothing.
     """
     code = F.regexp_extract(F.lower(F.trim(label)), r"^([a-z]{2,3})(?:[-_.@].*)?$", 1)
-    known = F.create_map(*(F.lit(x) for p in sorted(_codes(SparkSession.active()).items()) for x in p))
+    known = F.create_map(*(F.lit(x) for p in sorted(_codes().items()) for x in p))
     return F.when(code.isin(*NO_LANGUAGE), None).otherwise(F.coalesce(F.try_element_at(known, code), F.when(F.length(code) == 2, code)))
 
 
